@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import packing, simhash, webp
 from .common import table
 
 
@@ -16,8 +17,20 @@ def op3_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.read(webp.store(table(spark, sf_dir, "documents")), pixels=False)
+
+
+def op7_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_simhash_covering": op3_simhash_covering}
+    return {
+        "op2_lossless_webp": op2_lossless_webp,
+        "op3_simhash_covering": op3_simhash_covering,
+        "op7_histogram_packing": op7_histogram_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
