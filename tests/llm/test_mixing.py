@@ -1,0 +1,58 @@
+import random
+from collections import Counter
+from fractions import Fraction
+
+import pytest
+
+from skarn.llm import mixing
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_every_source_stays_within_one_block_of_the_fluid_schedule(seed):
+    rng = random.Random(seed)
+    n = rng.randint(1, 9)
+    blocks, weights = [rng.choice([0, 1, rng.randint(1, 90)]) for _ in range(n)], [rng.choice([1, rng.randint(1, 20), 0.3, 13.7]) for _ in range(n)]
+    order = mixing.schedule(blocks, weights)
+    assert Counter(s for s, *_ in order) == Counter({s: b for s, b in enumerate(blocks) if b})
+    shares = [Fraction(w).limit_denominator(10**6) for w in weights]
+    left, done, fluid = [Fraction(b) for b in blocks], [0] * n, [Fraction(0)] * n
+    for slot, (source, j, release, deadline) in enumerate(order):
+        assert j == done[source] and release <= slot < deadline
+        done[source] += 1
+        time = Fraction(1)
+        while time:  # the fluid schedule over one slot, simulated
+            active = [i for i in range(n) if left[i]]
+            total = sum(shares[i] for i in active)
+            step = min([time, *(left[i] * total / shares[i] for i in active)])
+            for i in active:
+                left[i] -= step * shares[i] / total
+                fluid[i] += step * shares[i] / total
+            time -= step
+        assert all(abs(d - f) < 1 for d, f in zip(done, fluid))
+
+
+def rows(n):
+    rng = random.Random(n)
+    return [(i, f"text {i}", rng.choice(["a", "a", "a", "b", "c", None, "d"]), i * 2) for i in range(n)]
+
+
+@pytest.mark.parametrize("max_blocks", [16384, 50])
+def test_positions(spark, max_blocks):
+    data = [*rows(900), (None, None, "a", 0), (3, "text 3", "b", 1), (3, "text 3", "b", 1)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, mix_slot long").repartition(5)
+    out = mixing.positions(docs, {"a": 0.2, "b": 0.5, "absent": 1.0}, 0.3, max_blocks=max_blocks).orderBy("mix_position").collect()
+    assert [r.mix_position for r in out] == list(range(len(data)))
+    assert Counter((r.doc_id, r.text, r.source, r.mix_slot) for r in out) == Counter(data)
+    assert [r._mix_slot for r in out] == sorted(r._mix_slot for r in out)
+    groups = Counter(r.mix_group for r in out)
+    size = max(1, -(-len(data) // max_blocks))
+    plan = mixing.schedule([-(-groups[g] // size) for g in (0, 1, 3)], [0.2, 0.5, 0.3])
+    assert [(r.mix_group, r.mix_block, r.mix_release, r.mix_deadline) for r in out] == [((0, 1, 3)[s], j, a, b) for s, j, a, b in plan for _ in range(min(size, groups[(0, 1, 3)[s]] - j * size))]
+
+
+def test_mix_keeps_rows_and_columns(spark):
+    docs = spark.createDataFrame(rows(200), "doc_id long, text string, source string, extra long")
+    out = mixing.mix(docs, {"a": 1, "b": 1}, 1)
+    assert out.columns == docs.columns
+    assert Counter(map(tuple, out.collect())) == Counter(rows(200))
+    assert mixing.mix(docs.limit(0), {"a": 1}, 1).count() == 0
