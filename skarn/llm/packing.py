@@ -31,21 +31,29 @@ from pyspark.sql import functions as F
 from .common import Stored, named, utf8
 
 CAPACITY, END_ID = 4096, 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000  # about 200 MB
 
 
 class WordTokens:
-    """ids of a text as little-endian unsigned 32-bit integers, word by word through a bounded cache."""
+    """ids of a text as little-endian unsigned 32-bit integers, word by word through a bounded cache.
+
+    The tokenizer lower-cases, so ASCII letters are lower-cased before the search in the cache, except in a text that
+    may hold a special token. Words of letters are tokenised many at once: the last token of a word is marked as such
+    in the vocabulary. A mark of punctuation after a letter is a token of its own, so such a word is two words.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
 
     def ids(self, text: bytes) -> bytes:
-        words = text.split()
+        words = (text if b"<|" in text else text.lower()).split()
         known = self.words
         try:
             return b"".join([known[w] for w in words])
@@ -55,11 +63,36 @@ class WordTokens:
             known.clear()
         missing = list({w for w in words if w not in known})
         for at in range(0, len(missing), 50_000):
-            part = missing[at : at + 50_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                known[word] = array("I", found.ids).tobytes()
+            self._learn(missing[at : at + 50_000])
         return b"".join([known[w] for w in words])
 
+    def _learn(self, missing: list[bytes]) -> None:
+        known, plain, marked, other = self.words, {}, [], []
+        for word in missing:
+            text = word.decode("utf-8", "replace")
+            if text.isalpha():
+                plain[text] = word
+            elif text[-1] in ".,!?;:" and text[:-1].isalpha():
+                marked.append(word)
+                if word[:-1] not in known:
+                    plain[text[:-1]] = word[:-1]
+            else:
+                other.append(word)
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(plain) and ends[-1] == len(ids):
+                data = ids.tobytes()
+                stops = (4 * ends).tolist()
+                known.update(zip(plain.values(), [data[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
+            else:
+                other += plain.values()
+        other += {w[-1:] for w in marked if w[-1:] not in known}
+        for word, found in zip(other, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in other], add_special_tokens=False), strict=True):
+            known[word] = array("I", found.ids).tobytes()
+        for word in marked:
+            known[word] = known[word[:-1]] + known[word[-1:]]
+
 
 _loaded: dict[str, WordTokens] = {}
 

@@ -52,7 +52,7 @@ def test_plan_uses_as_many_sequences_as_best_fit_over_pieces(seed):
 
 def test_ids_are_those_of_whole_texts():
     rng = random.Random(3)
-    alphabet = ["the", "Onnt.", "ÉÀ", "don't", "12'll3", " ", "\n", "\t", " ", " ", "\x1c", "é", "́", "<|endoftext|>", "x<|startoftext|>y", "漢字", "🙂", "--", "ſ", "İ", "ΑΣ"]
+    alphabet = ["the", "Onnt.", "ÉÀ", "don't", "12'll3", " ", "\n", "\t", " ", " ", "\x1c", "é", "́", "<|endoftext|>", "x<|startoftext|>y", "漢字", "🙂", "--", "ſ", "İ", "ΑΣ", "Straße", "ŉ", "ª", "K", "don't.", "a.", "b!", "ñandú,", "...", "x?!", "I'LL", "<|ENDOFTEXT|>", "가", "e\u0301,"]
     texts = ["", " ", *("".join(rng.choice(alphabet) for _ in range(rng.randint(1, 40))) for _ in range(300))]
     whole, words = Tokenizer.from_file(PATH), packing.WordTokens(PATH)
     for text in texts:
