@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, sharding, simhash, webp
+from . import chat, mixing, packing, sanitise, sharding, simhash, webp
 from .common import planned, table
 
 #: Target weights of the sources that are mixed by name, and of the others together.
@@ -28,6 +28,10 @@ def op3_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_disclosure_sanitising(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -90,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_lossless_webp": op2_lossless_webp,
         "op3_simhash_covering": op3_simhash_covering,
+        "op4_disclosure_sanitising": op4_disclosure_sanitising,
         "op7_histogram_packing": op7_histogram_packing,
         "op8_chat_round_trip": op8_chat_round_trip,
         "op9_virtual_slots": op9_virtual_slots,

@@ -1,0 +1,106 @@
+import hashlib
+import random
+import re
+
+from skarn.llm import sanitise
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def plain_spans(text):
+    out = []
+    for order, (kind, pattern) in enumerate(PLAIN.items()):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else None, "card": 12 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            if ok:
+                out.append((m.start(), order, kind, m.end()))
+    return [(kind, a, b) for a, _, kind, b in sorted(out)]
+
+
+def joined(spans):
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+def documents(spark, texts):
+    return spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, base string, order int")
+
+
+def test_base_spans_match_the_definition(spark):
+    rng = random.Random(6)
+    bits = ["a", "b.c", "@", "x@y.z", ".", "_", "-", " ", "1", "25", "256", "0", "4111 1111 1111 1111", "4111111111111111", "10.0.0.1", "+1 (555) 123-4567", "+", "(", ")", "é", "🙂", "\n", "%", "+44 20", "1.2.3.4.5.6.7.8", "000255.1.1.1", "a@b.c_d@e.f"]
+    texts = [None, "", *("".join(rng.choice(bits) for _ in range(rng.randint(1, 14))) for _ in range(700))]
+    found = {r.doc_id: r for r in sanitise.digests(documents(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        spans = plain_spans(t or "")
+        assert found[i].base_sha256 == hashlib.sha256(joined(spans).encode()).hexdigest(), (t, spans, found[i])
+        assert [found[i].n_email, found[i].n_ip, found[i].n_card, found[i].n_phone] == [sum(k == x for k, *_ in spans) for x in PLAIN]
+
+
+def test_long_texts_take_time_in_proportion_and_no_stack(spark):
+    texts = ["a" * 20_000, "a." * 10_000 + "@x", "x@" + "a." * 10_000, "1" * 20_000, "1." * 2_000, "+1" + "(" * 20_000, "1 " * 10_000, "a@b.cc " * 300]
+    found = {r.doc_id: r for r in sanitise.digests(documents(spark, texts)).collect()}
+    assert found[7].n_email == 300
+    assert [found[i].n_email for i in (0, 1)] == [0, 0] and found[2].n_email == 1
+
+
+def revealing(spark):
+    rng = random.Random(9)
+    filler = lambda n: " ".join(rng.choice("abcdefgh") + rng.choice("ijklmnop") for _ in range(n))
+    texts = [filler(60) for _ in range(300)]
+    for i in range(5):
+        texts[i] = f"{filler(10)} agent Zorblax met {filler(1)} jan@x.org the the {filler(12)}"
+    texts += [f"{filler(4)} the copy Wibble once@y.org {filler(4)}"] + []
+    texts += [texts[-1]] * 6
+    texts += [f"the {filler(9)} the" for _ in range(60)]
+    return documents(spark, texts), texts
+
+
+def test_terms_that_reveal_an_entity_are_found_near_it(spark):
+    docs, texts = revealing(spark)
+    found = {r.doc_id: r for r in sanitise.digests(docs).collect()}
+    for i, text in enumerate(texts):
+        spans = [s.split(":") for s in found[i].spans.split(",") if s]
+        base = [s for s in spans if s[0] in PLAIN]
+        assert joined(tuple(s) for s in base) == joined(plain_spans(text))
+        words = {(k, text[int(a) : int(b)]) for k, a, b in spans if k not in PLAIN}
+        # Copies of one text are one context, so what stands there reveals nothing.
+        assert words == ({("remove", "agent"), ("remove", "Zorblax"), ("remove", "met")} if i < 5 else set())
+
+
+def test_brute_force_disclosure(spark):
+    import math
+
+    docs, texts = revealing(spark)
+    telling = {s.split(":")[0] for r in sanitise.digests(docs, generalise_at=0.3, remove_at=2.0).collect() for s in r.spans.split(",") if s}
+    assert "generalise" in telling and "remove" not in telling
+    words = [set(re.findall(r"[a-z]+", t.lower())) for t in texts]
+    share = lambda t: math.log(len(texts) * 5 / (5 * sum(t in w for w in words))) / math.log(len(texts) / 5)
+    assert share("the") < 0.5 < share("zorblax") == 1.0
+
+
+def test_sanitise_rewrites_texts(spark):
+    docs, texts = revealing(spark)
+    out = {r.doc_id: r for r in sanitise.sanitise(docs).collect()}
+    for i, text in enumerate(texts):
+        if i < 5:
+            assert "Zorblax" not in out[i].text and "jan@x.org" not in out[i].text and "[EMAIL] the the" in out[i].text
+        elif "@" not in text:
+            assert out[i].text == text
+        assert out[i].base == "x" and out[i].order == 1
+    more = documents(spark, [None, "", "x 4111 1111 1111 1111 y", "call +1 555 123 4567, 10.0.0.1"])
+    assert [r.text for r in sanitise.sanitise(more).orderBy("doc_id").collect()] == [None, "", "x [CARD] y", "call [PHONE], [IP]"]
+    assert sanitise.sanitise(docs.limit(0)).count() == 0 and sanitise.digests(docs.limit(0)).count() == 0
