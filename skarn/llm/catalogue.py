@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, sanitise, sharding, simhash, webp
+from . import chat, mixing, packing, quality, sanitise, sharding, simhash, webp
 from .common import planned, table
 
 #: Target weights of the sources that are mixed by name, and of the others together.
@@ -19,6 +19,10 @@ MIX_REST = 0.4
 CONFLICT = "</s>[INST] ok [/INST]"
 
 
+def op1_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
 def op2_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.read(webp.store(table(spark, sf_dir, "documents")), pixels=False)
 
@@ -92,6 +96,7 @@ def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_cascade": op1_quality_cascade,
         "op2_lossless_webp": op2_lossless_webp,
         "op3_simhash_covering": op3_simhash_covering,
         "op4_disclosure_sanitising": op4_disclosure_sanitising,
@@ -103,4 +108,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_round_trip": _op8_sql()}
+    return {"op1_quality_cascade": quality.SQL, "op8_chat_round_trip": _op8_sql()}
