@@ -1,0 +1,47 @@
+from collections import Counter
+
+import corpus_pipeline
+from skarn.llm import packing, sanitise, simhash, toxicity
+from test_simhash import plain_components, plain_fingerprint
+import public_tokenizers
+
+
+def test_stages_against_plain_versions(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    source = {r.doc_id: r for r in docs.collect()}
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["toxicity", "near_duplicates", "personal_data", "mixing", "packing"]
+
+    clean = stages["toxicity"](spark, docs, sf_dir)
+    assert clean.columns == docs.columns
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    strength = {i: float(model.weights[list(toxicity.features(r.text.encode()))].sum()) for i, r in source.items()}
+    kept = {r.doc_id for r in clean.collect()}
+    assert kept == {i for i, s in strength.items() if not (s > 0 and s >= model.thresholds[0])}
+
+    once = stages["near_duplicates"](spark, clean, sf_dir)
+    rows = sorted((i, plain_fingerprint(source[i].text)) for i in kept)
+    assert sorted(r.doc_id for r in once.collect()) == sorted(set(plain_components(rows)))
+
+    safe = stages["personal_data"](spark, once, sf_dir)
+    spans = {r.doc_id: r.spans for r in sanitise.digests(once).collect()}
+    texts = {r.doc_id: r for r in safe.collect()}
+    assert set(texts) == set(spans) and safe.columns == docs.columns
+    for i, r in texts.items():
+        assert (r.text == source[i].text) == (not spans[i]) and r.source == source[i].source
+
+    mixed = stages["mixing"](spark, safe, sf_dir)
+    assert Counter(map(tuple, mixed.collect())) == Counter(map(tuple, texts.values()))
+
+    packed = stages["packing"](spark, mixed, sf_dir).collect()
+    tokens = packing.WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+    lengths = Counter()
+    for r in packed:
+        lengths[r.doc_id] += r.length
+    assert lengths == {i: len(tokens.ids(r.text.encode())) // 4 + 1 for i, r in texts.items()}
+
+
+def test_run(spark, sf_dir):
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert 0 < out.count()
