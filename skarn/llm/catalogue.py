@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality, sanitise, sharding, simhash, toxicity, webp
+from . import chat, hmm, mixing, packing, quality, sanitise, sharding, simhash, toxicity, webp
 from .common import planned, table
 
 #: Target weights of the sources that are mixed by name, and of the others together.
@@ -36,6 +36,10 @@ def op4_disclosure_sanitising(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitise.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -106,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_lossless_webp": op2_lossless_webp,
         "op3_simhash_covering": op3_simhash_covering,
         "op4_disclosure_sanitising": op4_disclosure_sanitising,
+        "op5_hidden_markov": op5_hidden_markov,
         "op6_ordinal_toxicity": op6_ordinal_toxicity,
         "op7_histogram_packing": op7_histogram_packing,
         "op8_chat_round_trip": op8_chat_round_trip,
