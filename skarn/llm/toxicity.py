@@ -80,48 +80,49 @@ class Model:
         return _sigmoid(strength[:, None] - self.thresholds[None, :])
 
 
-def grades(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Training grades: 0 for clean texts, thirds of the toxic ones by their amount of evidence."""
-    flat = np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    bad = np.bincount(flat[toxic[owner]], minlength=DIMENSIONS)
-    good = np.bincount(flat[~toxic[owner]], minlength=DIMENSIONS)
-    odds = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((good + 0.5) / ((~toxic).sum() + 1))
-    evidence = (odds > EVIDENCE) & telling(rows, toxic)
-    amount = np.bincount(owner, weights=evidence[flat], minlength=len(rows))
-    out = np.zeros(len(rows), dtype=np.int64)
-    cuts = np.quantile(amount[toxic], [1 / 3, 2 / 3])
-    out[toxic] = 1 + np.searchsorted(cuts, amount[toxic], side="left")
-    return out
+def tally(rows: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In how many toxic and how many other rows each feature is. Row by row, so that no copy of all rows is made."""
+    bad, good = np.zeros(DIMENSIONS, dtype=np.int64), np.zeros(DIMENSIONS, dtype=np.int64)
+    for row, is_toxic in zip(rows, toxic, strict=True):
+        (bad if is_toxic else good)[row] += 1
+    return bad, good
 
 
-def telling(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+def telling(bad: np.ndarray, good: np.ndarray, rate: float) -> np.ndarray:
     """Which features stand in toxic and other texts at rates that differ by more than chance among so many features:
     the likelihood ratio statistic of the feature's rows exceeds twice the logarithm of the number of features."""
-    flat = np.concatenate(rows).astype(np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    bad = np.bincount(flat, weights=toxic[owner], minlength=DIMENSIONS)
-    total = np.bincount(flat, minlength=DIMENSIONS)
-    rate = toxic.mean()
-    good = total - bad
+    total = bad + good
     share = lambda part, expected: part * np.log(np.maximum(part, 1e-9) / np.maximum(expected, 1e-9))
     ratio = 2 * (share(bad, total * rate) + share(good, total * (1 - rate)))
     return (total >= MIN_DOCUMENTS) & (ratio > 2 * np.log(max(2, np.count_nonzero(total))))
 
 
+def grades(rows: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Training grades, 0 for clean texts and thirds of the toxic ones by their amount of evidence; and which features
+    are telling."""
+    bad, good = tally(rows, toxic)
+    odds = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((good + 0.5) / ((~toxic).sum() + 1))
+    kept = telling(bad, good, float(toxic.mean()))
+    evidence = (odds > EVIDENCE) & kept
+    amount = np.array([np.count_nonzero(evidence[row]) for row in rows])
+    out = np.zeros(len(rows), dtype=np.int64)
+    cuts = np.quantile(amount[toxic], [1 / 3, 2 / 3])
+    out[toxic] = 1 + np.searchsorted(cuts, amount[toxic], side="left")
+    return out, kept
+
+
 def fit_model(rows: list[np.ndarray], toxic: np.ndarray) -> Model:
     """Maximum penalised likelihood by Adam over all rows. Weights start at zero; features that are
     not telling keep that."""
     nothing = Model(np.zeros(DIMENSIONS, np.float32), np.full(GRADES - 1, 40.0) + np.arange(GRADES - 1))
     if not toxic.any() or toxic.all():
         return nothing
-    y = grades(rows, toxic)
-    flat = np.concatenate(rows).astype(np.int64)
-    frequent = telling(rows, toxic)
+    y, frequent = grades(rows, toxic)
     kept = np.flatnonzero(frequent)
     place = np.cumsum(frequent) - 1
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])[frequent[flat]]
-    column = place[flat[frequent[flat]]]
+    found = [place[row[frequent[row]]] for row in rows]
+    owner = np.repeat(np.arange(len(rows)), [len(f) for f in found])
+    column = np.concatenate(found)
     n, levels = len(rows), GRADES - 1
     below = np.array([(y <= k).mean() for k in range(levels)])
     logit = np.log((below + 1e-3) / (1 - below + 1e-3))
