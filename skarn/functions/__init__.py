@@ -1 +1 @@
-"""functions."""
+"""User-defined functions, in batches through Arrow."""

@@ -1 +1 @@
-"""operators."""
+"""Relational operators: functions of DataFrames and parameters that declare a plan and run nothing."""
