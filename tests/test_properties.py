@@ -1,0 +1,91 @@
+"""Laws that hold for any input."""
+
+from collections import Counter
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from skarn.operators import join, setops, sort
+from skarn.operators.scan import BitmapCondition, bitmap_scan
+from skarn.sources import kv
+from skarn.sql import split_list, split_where
+
+ROWS = st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 3)), st.sampled_from(["x", "y", None])), max_size=8)
+FEW = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "a int, b string")
+
+
+def bag(df):
+    return Counter(map(tuple, df.collect()))
+
+
+@FEW
+@given(ROWS, ROWS)
+def test_bag_difference_and_intersection_share_out_the_left_rows(spark, left, right):
+    x, y = frame(spark, left), frame(spark, right)
+    assert bag(setops.difference(x, y, bag=True)) + bag(setops.intersect(x, y, bag=True)) == Counter(left)
+    assert set(bag(setops.union(x, y, distinct=True))) == set(left) | set(right)
+
+
+@FEW
+@given(ROWS, ROWS)
+def test_join_multiplicities(spark, left, right):
+    x, y = frame(spark, left), frame(spark, right).withColumnsRenamed({"a": "c", "b": "d"})
+    pairs = Counter((*p, *q) for p in left for q in right if p[0] is not None and p[0] == q[0])
+    assert bag(join.join(x, y, x.a == y.c)) == pairs
+    assert bag(join.join(x, y, x.a == y.c, "LEFT")) == pairs + Counter((*p, None, None) for p in left if p[0] is None or all(q[0] != p[0] for q in right))
+
+
+@FEW
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(-3, 3)), max_size=30))
+def test_positions_are_those_of_a_sorted_list(spark, rows):
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "a int, b int, i int")
+    out = sort.positions(df, "a", ("b", "desc"), "i").collect()
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0], -rows[i][1], i))
+    assert sorted((r.pos, r.i) for r in out) == [(k + 1, i) for k, i in enumerate(order)]
+
+
+@FEW
+@given(ROWS, st.lists(st.tuples(st.sampled_from(["a", "b"]), st.sampled_from(["AND", "OR", "NOT", "MAYBE"])), max_size=4))
+def test_bitmaps_fold_in_order(spark, rows, steps):
+    values = {"a": (1, 2), "b": ("x",)}
+    kept = []
+    for row in rows:
+        now = True
+        for column, op in steps:
+            hit = row["ab".index(column)] in values[column]
+            now = {"AND": now and hit, "OR": now or hit, "NOT": now != hit}.get(op, now)
+        kept += [row] if now else []
+    found = bitmap_scan(frame(spark, rows), ["a", "b"], [BitmapCondition(c, values[c], op) for c, op in steps])
+    assert bag(found) == Counter(kept)
+
+
+@FEW
+@given(st.lists(st.tuples(st.sampled_from(["PUT", "DELETE", "GET"]), st.integers(0, 4), st.integers(0, 9)), max_size=12))
+def test_a_log_of_operations_acts_like_a_dict(spark, log):
+    state = {0: 100, 1: 101}
+    table = spark.createDataFrame(list(state.items()), "k int, value int")
+    for op, k, v in log:
+        if op == "PUT":
+            state[k] = v
+        elif op == "DELETE":
+            state.pop(k, None)
+    operations = spark.createDataFrame([(i, *o) for i, o in enumerate(log)], "seq int, op string, k int, value int")
+    assert dict(map(tuple, kv.apply(table, operations).collect())) == state
+
+
+@pytest.mark.parametrize(
+    ("text", "parts"),
+    [("a, b", ["a", "b"]), ("f(a, b), 'x,y'", ["f(a, b)", "'x,y'"]), ("", [])],
+)
+def test_split_list(text, parts):
+    assert split_list(text) == parts
+
+
+def test_split_where():
+    assert split_where("a = 'x where y' WHERE b IN (SELECT 1 WHERE true)") == ("a = 'x where y'", "b IN (SELECT 1 WHERE true)")
+    assert split_where("a = nowhere") == ("a = nowhere", None)
