@@ -24,13 +24,13 @@ def sort(df: DataFrame, *columns: str | tuple[str, str]) -> DataFrame:
 def positions(df: DataFrame, *columns: str | tuple[str, str], within: Sequence[str] = (), name: str = "pos") -> DataFrame:
     """The 1-based place of each row in the sorted order, of the table or within groups, as a column.
 
-    The place in a whole table comes from a distributed sort: rows are dealt by the first key's ranges, ranked there, and
-    the counts of earlier ranges are added."""
+    The place in a whole table comes from a distributed sort: rows are dealt by ranges of all keys, so that
+    one frequent value of the first is spread, ranked there, and the counts of earlier ranges are added."""
     order = keys(*columns)
     if within:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*order)).cast("long"))
-    parts = df.repartitionByRange(order[0]).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    # Equal first keys are in one range, so the order of (range, place in it) is the whole order.
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    # Rows equal in all keys are in one range, so the order of (range, place in it) is the whole order.
     split = parts.withColumn("_part", F.shiftright("_id", 33)).withColumn("_row", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
     split = split.checkpoint()  # ranges are sampled: both uses below must see the same ones
     counts = split.groupBy("_part").agg(F.count("*").alias("_n"))
