@@ -13,7 +13,7 @@ a third of all rows is dealt to many tasks. All rows are kept: weights decide th
 source has no rows left, the others share its weight.
 
 Defined cases: a null or unnamed source belongs to the group of the rest; null ids and texts are hashed like others;
-repeated rows are each placed; rows equal in id and text may swap places; an empty table gives an empty result; a
+repeated rows are each placed; rows equal in id and text may swap places; a weight of zero or less raises ValueError; an empty table gives an empty result; a
 column of documents that clashes with an added one is kept under its name and the added one gets underscores in front.
 """
 
@@ -90,6 +90,8 @@ def _group(source_column: str, names: list[str]) -> Column:
 
 def positions(docs: DataFrame, weights: Mapping[str, float], rest_weight: float, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", max_blocks: int = MAX_BLOCKS, prefix: str = "mix_") -> DataFrame:
     """docs with mix_group, mix_block, mix_slot, mix_release, mix_deadline and mix_position (0, 1, ... without gaps)."""
+    if min([*weights.values(), rest_weight]) <= 0:
+        raise ValueError("weights must be positive")
     spark = docs.sparkSession
     names = list(weights)
     group, spread, unit, before, rank, block, slot, release, deadline, first, position = (free_name(docs, prefix + n) for n in ("group", "hash", "unit", "before", "rank", "block", "slot", "release", "deadline", "first", "position"))

@@ -56,3 +56,5 @@ def test_mix_keeps_rows_and_columns(spark):
     assert out.columns == docs.columns
     assert Counter(map(tuple, out.collect())) == Counter(rows(200))
     assert mixing.mix(docs.limit(0), {"a": 1}, 1).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mix(docs, {"a": 0}, 1)

@@ -1,7 +1,7 @@
 from collections import Counter
 
 import corpus_pipeline
-from skarn.llm import packing, sanitise, simhash, toxicity
+from skarn.llm import packing, sanitise, toxicity
 from test_simhash import plain_components, plain_fingerprint
 import public_tokenizers
 
