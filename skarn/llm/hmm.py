@@ -285,7 +285,9 @@ def first_model(texts: list[np.ndarray], counts: Counts, states: int = STATES) -
 
 def _some(stored: DataFrame) -> list[np.ndarray]:
     """INIT_TOKENS tokens of training texts, from the two chunks with the least hash."""
-    rows = stored.orderBy(F.xxhash64("chunk"), "chunk").limit(2).select("held_out", "n_tokens", "classes").collect()
+    # Ids first: a search for the least among whole rows would send two rows of each task to the driver.
+    ids = [r["chunk"] for r in stored.select("chunk").orderBy(F.xxhash64("chunk"), "chunk").limit(2).collect()]
+    rows = stored.where(F.col("chunk").isin(ids)).orderBy("chunk").select("held_out", "n_tokens", "classes").collect()
     out, left = [], INIT_TOKENS
     for r in rows:
         for text, held in zip(texts_of(r["classes"], r["n_tokens"]), r["held_out"], strict=True):
