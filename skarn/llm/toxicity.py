@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import named, utf8
 
-DIMENSIONS, GRADES, SAMPLE_ROWS, CACHE_WORDS = 1 << 18, 4, 8192, 500_000
+DIMENSIONS, GRADES, SAMPLE_ROWS, CACHE_WORDS = 1 << 18, 4, 8192, 150_000
 STEPS, RATE, PENALTY, MIN_DOCUMENTS, EVIDENCE = 200, 0.2, 5e-5, 2, 2.0
 EDGES = b".,!?;:\"'()[]{}*_-"
 
