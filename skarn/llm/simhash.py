@@ -183,27 +183,28 @@ def components(edges: DataFrame, label: str = "components") -> tuple[DataFrame,
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3, bucket_rows: int = 4096) -> DataFrame:
-    """Rows (doc_id, text_hash, fp, component_id), one for each of docs."""
+    """Rows (doc_id, text_hash, fp, component_id, root), one for each of docs. The root is a fingerprint of the component
+    and tells it from all others, also from those with the same smallest id."""
     prints = Stored(fingerprints(docs, id_column, text_column, shingle), "simhash-prints")
     reps = Stored(prints.df.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-reps")
     edges, stored = links(reps.df, bucket_rows)
     roots, more = components(edges, "simhash")
     of = Stored(roots, "simhash-roots")
     least = of.df.join(reps.df.withColumnRenamed("fp", "node"), "node").groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labelled = of.df.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    answer = Stored(reps.df.join(labelled, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "simhash-answer")
+    labelled = of.df.join(least, "root").select(F.col("node").alias("fp"), "component_id", "root")
+    least_id = F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("component_id"))
+    answer = Stored(reps.df.join(labelled, "fp", "left").select("fp", least_id.alias("component_id"), F.coalesce("root", "fp").alias("root")), "simhash-answer")
     for old in (*stored, *more, of, reps):
         old.drop()
-    return prints.df.join(answer.df, "fp", "left").select("doc_id", "text_hash", "fp", "component_id")
+    return prints.df.join(answer.df, "fp", "left").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3, bucket_rows: int = 4096) -> DataFrame:
     """One row of docs, unchanged, for each component: that of its smallest doc_id (null before others), then of the
     smallest text hash; of rows equal in both, any one."""
     found = classes(docs, id_column, text_column, shingle, bucket_rows)
-    # Components without an id of their own are told apart by their fingerprints' smallest member.
-    whose = F.when(F.col("component_id").isNull(), F.col("fp"))
-    best = found.groupBy("component_id", whose.alias("alone")).agg(F.min(F.struct("doc_id", "text_hash")).alias("kept"))
+    # By root: where an id is repeated with different texts, components may share their smallest id.
+    best = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("kept"))
     keep = Stored(best.select(F.col("kept.doc_id").alias("_kept_id"), F.col("kept.text_hash").alias("_kept_hash")), "simhash-kept").df
     own = F.xxhash64(F.coalesce(named(text_column), F.lit("")))
     hashed = docs.withColumn("_row_hash", own)

@@ -100,6 +100,14 @@ def test_deduplicate_keeps_one_row_of_each_class(spark):
     assert simhash.classes(documents(spark, [])).count() == 0
 
 
+def test_components_with_one_smallest_id_all_keep_a_row(spark):
+    rng = random.Random(4)
+    x, y = (" ".join(rng.choice("abcdefghij") + rng.choice("klm") for _ in range(80)) for _ in range(2))
+    rows = [(5, x, "x", 0), (5, y, "y", 0), (9, y, "z", 0), (5, "one more", "w", 0), (None, "first", "u", 0), (None, "first", "u", 0), (None, "second", "v", 0)]
+    kept = simhash.deduplicate(documents(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("5", x), ("5", y), ("5", "one more"), ("None", "first"), ("None", "second")])
+
+
 def test_forest_spans():
     values = np.array([0, 1, 3, 7, 1 << 40, (1 << 40) + 1, 0xFF << 50], dtype=np.int64)
     a, b = simhash.forest(values)
