@@ -1,15 +1,19 @@
 """Removal of personal data, with DataFrame functions only: patterns, and terms that reveal what the patterns found.
 
 Base spans are e-mail and IP addresses, card and phone numbers, by pattern and check. Each distinct value is a protected
-entity. The words around its occurrences (``WINDOW`` characters to each side) are terms that may reveal it: over all
-documents, with df counting documents, the share of the entity's information that a term t discloses is
+entity. All words outside base spans of the texts that hold it are terms that may reveal it: over all documents, with df
+counting documents and n(e, t) the different texts that hold both (copies of a text are one), a term t discloses
 
-    PMI(e; t) / IC(e) = log(N df(e, t) / (df(e) df(t))) / log(N / df(e)),
+    PMI(e; t) / IC(e) * n(e, t)^2 / (n(e, t)^2 + 1),    PMI(e; t) / IC(e) = log(N df(e, t) / (df(e) df(t))) / log(N / df(e)).
 
-1 for a term that occurs with the entity alone and near 0 for a term that occurs anywhere. A term seen with the entity
-in ``min_contexts`` different contexts at least (copies of a text are one) is generalised near it when its disclosure
-reaches ``generalise_at``, that is replaced by its kind of word, and removed from ``remove_at`` on. The sanitised text has
-a label in place of each base span.
+The quotient is 1 at most, for a term that occurs with the entity alone, and near 0 for a term that occurs anywhere; the
+factor is smoothing by evidence. So every entity takes part, also one in a single text, where any word of its own has the
+quotient 1 but half the disclosure. A term whose disclosure reaches ``generalise_at`` is generalised at every place in all
+texts that hold the entity, that is replaced by its kind of word, and removed from ``remove_at`` on. The sanitised text
+has a label in place of each base span.
+
+Entities that stand in the same texts have the same figures and are counted as one class, so a text full of values costs
+as much as one with a single value.
 
 The patterns are written so that they take time in proportion to a text and no stack: a match begins at the start of a
 run of its characters (or where the last match ended), and repeats don't backtrack. They match what plain greedy ones do.
@@ -20,7 +24,7 @@ equal texts get equal spans; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Stored, free_name, named
@@ -37,10 +41,11 @@ PATTERNS = {
 HOLDS = {"email": "@", "ip": ".", "phone": "+"}
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 WORD = r"[\p{L}\p{N}][\p{L}\p{N}\p{M}'_-]*+"
-WINDOW, MIN_CONTEXTS, GENERALISE_AT, REMOVE_AT = 48, 3, 0.8, 0.95
+GENERALISE_AT, REMOVE_AT = 0.8, 0.95
 
-#: No more spans than these begin in a window, as the shortest has five characters; of two kinds at one place.
-BESIDE = 2 * (WINDOW // 5 + 1)
+#: A character for private use that stands for those of base spans, and words that may hold it.
+MASK = "\ue000"
+MASKED_WORD = rf"[\p{{L}}\p{{N}}{MASK}][\p{{L}}\p{{N}}\p{{M}}'_{MASK}-]*+"
 
 SPAN = "struct<start:int,order:int,end:int,value:string>"
 
@@ -109,61 +114,79 @@ def _count(kind: str) -> Column:
     return F.size(F.filter("base", lambda s: s["order"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
 
 
-def _contexts(text: Column, spans: Column) -> Column:
-    """For each span (entity, context, terms): its value, a hash of the text around it, the words there as array of
-    (term, start, end). Words that a window cuts, and those within the BESIDE spans to each side, are left out."""
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with MASK for each character of a span, all others at their places."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    plain = F.translate(text, MASK, " ")
+
+    def step(acc: Column, s: Column) -> Column:
+        fresh = F.array(F.substring(plain, acc["at"] + 1, s["start"] - acc["at"]), F.repeat(F.lit(MASK), s["end"] - F.greatest(acc["at"], s["start"])))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], fresh).alias("out"))
+
+    return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(plain, acc["at"] + 1, F.length(plain))))
 
-    def around(s: Column, place: Column) -> Column:
-        left_at = F.greatest(s["start"] - WINDOW, F.lit(0))
-        left = F.substring(text, left_at + 1, s["start"] - left_at)
-        right = F.substring(text, s["end"] + 1, F.lit(WINDOW))
-        words = F.concat(
-            F.transform(F.filter(matches(left, WORD), lambda m: (m["start"] > 0) | (left_at == 0)), lambda m: F.struct(F.lower(m["value"]).alias("term"), (m["start"] + left_at).alias("start"), (m["end"] + left_at).alias("end"))),
-            F.transform(F.filter(matches(right, WORD), lambda m: m["end"] < WINDOW), lambda m: F.struct(F.lower(m["value"]).alias("term"), (m["start"] + s["end"]).alias("start"), (m["end"] + s["end"]).alias("end"))),
-        )
-        # Spans that reach into the window are next to this one in their order.
-        beside = F.slice(spans, F.greatest(place - BESIDE, F.lit(0)) + 1, F.lit(2 * BESIDE + 1))
-        free = F.filter(words, lambda w: ~F.exists(beside, lambda o: (o["start"] < w["end"]) & (w["start"] < o["end"])))
-        return F.struct(F.concat_ws(":", s["order"], F.lower(s["value"])).alias("entity"), F.xxhash64(left, right).alias("context"), free.alias("terms"))
 
-    return F.transform(spans, around)
+def _terms(text: Column, pattern: str = WORD) -> Column:
+    """The different words of a text, in lower case; those that touch a masked span are left out."""
+    words = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    free = F.filter(words, lambda w: ~F.contains(w, F.lit(MASK))) if pattern == MASKED_WORD else words
+    return F.array_distinct(F.transform(free, F.lower))
 
 
 def find(docs: DataFrame, text_column: str = "text", **keep: Column) -> DataFrame:
-    """A row for each of docs: the columns of ``keep``, text_key (equal for equal texts), and its base spans as
-    array ``base``; to be stored before it is used more than once."""
+    """A row for each of docs: the columns of ``keep``, text_key (equal for equal texts), its base spans as array
+    ``base``, and where it has some the text itself as ``body``; to be stored before it is used more than once."""
     text = F.coalesce(named(text_column).cast("string"), F.lit(""))
     read = docs.select(*[c.alias(n) for n, c in keep.items()], text.alias("body"))
     spanned = read.withColumn("base", base_spans(F.col("body")))
-    return spanned.select(*keep, F.md5(F.col("body").cast("binary")).alias("text_key"), "base", _contexts(F.col("body"), F.col("base")).alias("contexts"))
+    return spanned.select(*keep, F.md5(F.col("body").cast("binary")).alias("text_key"), "base", F.when(F.size("base") > 0, F.col("body")).alias("body"))
 
 
-def term_spans(docs: DataFrame, found: DataFrame, text_column: str = "text", min_contexts: int = MIN_CONTEXTS, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
+def _classes(seen: DataFrame) -> DataFrame:
+    """Rows (text_key, class, entity_df): for each text the classes of its entities; those of a class stand in the same
+    texts. seen: rows (text_key, copies, entity), each once."""
+    low, high = F.xxhash64("text_key"), F.xxhash64("text_key", F.lit(1))
+    same = F.concat_ws(":", F.count("*"), F.bit_xor(low), F.bit_xor(high), F.min("text_key"), F.max("text_key"))
+    of = seen.groupBy("entity").agg(F.md5(same.cast("binary")).alias("class"), F.sum("copies").alias("entity_df"))
+    return seen.join(of, "entity").select("text_key", "class", "entity_df").distinct()
+
+
+def term_spans(docs: DataFrame, found: DataFrame, text_column: str = "text", generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """Rows (text_key, added): spans of revealing terms by text, array of (start, order, end, value)."""
-    with_base = found.where(F.size("contexts") > 0)
-    texts = Stored(with_base.groupBy("text_key").agg(F.count("*").alias("copies"), F.first("contexts").alias("contexts")), "sanitise-texts").df
-    seen = texts.select("text_key", "copies", F.explode("contexts").alias("c")).select("text_key", "copies", "c.entity", "c.context", "c.terms")
-    # Entities first: those in too few contexts can't be revealed by any term, and most are.
-    entities = seen.groupBy("entity", "text_key").agg(F.first("copies").alias("copies"), F.collect_set("context").alias("contexts"))
-    often = entities.select("entity", "text_key", "copies", F.explode("contexts").alias("context")).groupBy("entity", "context").agg(F.count("*").alias("n")).groupBy("entity").agg(F.count("*").alias("n_contexts")).where(F.col("n_contexts") >= min_contexts)
-    entity_df = entities.groupBy("entity").agg(F.sum("copies").alias("entity_df"))
-    kept = Stored(often.join(entity_df, "entity").select("entity", "entity_df"), "sanitise-entities").df
-    near = Stored(seen.join(kept, "entity").select("text_key", "copies", "entity", "entity_df", "context", F.explode("terms").alias("t")).select("text_key", "copies", "entity", "entity_df", "context", "t.term", "t.start", "t.end"), "sanitise-near").df
-    pair = near.groupBy("entity", "term", "text_key").agg(F.first("copies").alias("copies"), F.first("entity_df").alias("entity_df"))
-    pair_df = pair.groupBy("entity", "term").agg(F.sum("copies").alias("pair_df"), F.first("entity_df").alias("entity_df"))
-    pair_contexts = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_contexts")).where(F.col("n_contexts") >= min_contexts)
-    pairs = Stored(pair_df.join(pair_contexts, ["entity", "term"]), "sanitise-pairs").df
-    body = F.coalesce(named(text_column).cast("string"), F.lit(""))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(body), F.lit(WORD), F.lit(0)))).alias("term"))
-    term_df = words.groupBy("term").agg(F.count("*").alias("term_df"))
+    once = found.where(F.size("base") > 0).groupBy("text_key").agg(F.count("*").alias("copies"), F.first("base").alias("base"), F.first("body").alias("body"))
+    texts = Stored(once.withColumn("masked", _masked(F.col("body"), F.col("base"))), "sanitise-texts").df
+    entity = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["order"], F.lower(s["value"]))))
+    classes = Stored(_classes(texts.select("text_key", "copies", F.explode(entity).alias("entity"))), "sanitise-classes").df
+    terms = Stored(texts.select("text_key", "copies", F.explode(_terms(F.col("masked"), MASKED_WORD)).alias("term")), "sanitise-terms").df
+    evidence = F.count("*").cast("double")
+    pair = classes.join(terms, "text_key").groupBy("class", "term").agg(F.sum("copies").alias("pair_df"), F.first("entity_df").alias("entity_df"), (evidence * evidence / (evidence * evidence + 1)).alias("smoothing"))
+    # The quotient is 1 at most, so that no pair below can reach the threshold.
+    pairs = Stored(pair.where(F.col("smoothing") >= generalise_at), "sanitise-pairs").df
+    # Words outside base spans: those of all texts, less those of texts with spans, and these with their spans masked.
+    every = docs.select(F.explode(_terms(F.coalesce(named(text_column).cast("string"), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    less = texts.select(F.explode(_terms(F.col("body"))).alias("term"), (-F.col("copies")).alias("n"))
+    words = every.union(less).union(terms.select("term", F.col("copies").alias("n")))
+    term_df = words.groupBy("term").agg(F.sum("n").alias("term_df"))
     n = F.lit(float(max(1, found.count())))
     information = F.log(n / F.col("entity_df"))
     shared = F.log(n * F.col("pair_df") / (F.col("entity_df") * F.col("term_df")))
-    scored = pairs.join(term_df, "term").withColumn("disclosure", F.when(information > 0, shared / information).otherwise(F.lit(0.0)))
+    scored = pairs.join(term_df, "term").withColumn("disclosure", F.when(information > 0, F.col("smoothing") * shared / information).otherwise(F.lit(0.0)))
     order = F.when(F.col("disclosure") >= remove_at, F.lit(KINDS.index("remove"))).otherwise(F.lit(KINDS.index("generalise")))
-    telling = scored.where(F.col("disclosure") >= generalise_at).select("entity", "term", order.alias("order"))
-    hits = near.join(telling, ["entity", "term"]).groupBy("text_key", "start", "end").agg(F.max("order").alias("order"), F.first("term").alias("value"))
-    return hits.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("start", "order", "end", "value"))).alias("added"))
+    telling = scored.where(F.col("disclosure") >= generalise_at).select("class", "term", order.alias("order"))
+    marked = classes.join(telling, "class").groupBy("text_key", "term").agg(F.max("order").alias("order"))
+    marked = Stored(marked.join(terms.select("text_key", "term"), ["text_key", "term"]), "sanitise-marked").df
+    hits = _places(texts.join(marked.select("text_key").distinct(), "text_key", "left_semi")).join(marked, ["text_key", "term"])
+    return hits.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("start", "order", "end", F.col("term").alias("value")))).alias("added"))
+
+
+def _places(texts: DataFrame) -> DataFrame:
+    """Rows (text_key, term, start, end): every word of the masked texts. Places are sums of sizes over a text's words."""
+    values = F.regexp_extract_all(F.col("masked"), F.lit(MASKED_WORD), F.lit(0))
+    gaps = F.transform(F.split("masked", MASKED_WORD, -1), lambda p: F.length(p))
+    words = texts.select("text_key", F.posexplode(F.arrays_zip(values.alias("value"), gaps.alias("gap"))).alias("k", "w")).where("w.value IS NOT NULL")
+    so_far = Window.partitionBy("text_key").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = words.select("text_key", F.lower("w.value").alias("term"), F.length("w.value").alias("size"), F.sum(F.col("w.gap") + F.length("w.value")).over(so_far).cast("int").alias("end"))
+    return ends.select("text_key", "term", (F.col("end") - F.col("size")).alias("start"), "end")
 
 
 def _span_text(spans: Column) -> Column:
@@ -175,7 +198,7 @@ def digests(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     """Rows (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for each of docs."""
     found = Stored(find(docs, text_column, doc_id=named(id_column)), "sanitise-found").df
     added = Stored(term_spans(docs, found, text_column, **thresholds), "sanitise-added").df
-    both = found.drop("contexts").join(added, "text_key", "left")
+    both = found.drop("body").join(added, "text_key", "left")
     every = F.when(F.col("added").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "added")))
     return both.select("doc_id", *[_count(kind) for kind in PATTERNS], F.sha2(_span_text(F.col("base")), 256).alias("base_sha256"), _span_text(every).alias("spans"))
 

@@ -81,6 +81,25 @@ def test_terms_that_reveal_an_entity_are_found_near_it(spark):
         assert words == ({("remove", "agent"), ("remove", "Zorblax"), ("remove", "met")} if i < 5 else set())
 
 
+def test_rare_entities_and_far_terms_take_part(spark):
+    rng = random.Random(10)
+    filler = lambda n: " ".join(rng.choice("abcdefgh") + rng.choice("ijklmnop") for _ in range(n))
+    texts = [filler(60) for _ in range(300)]
+    for i in range(5):
+        texts[i] = f"{filler(10)} jan@x.org {filler(60)} Zorblax {filler(40)} zorblax, end{i} {' '.join(f'v{k}@many.org' for k in range(i))}"
+    for i in (10, 11):
+        texts[i] = f"Quibble 10.0.0.7 {filler(60)} quibble"
+    texts[20] = f"{filler(30)} single@y.org {filler(30)} Lonely 1.2.3.4.x7"
+    found = {r.doc_id: [s.split(":") for s in r.spans.split(",") if s] for r in sanitise.digests(documents(spark, texts)).collect()}
+    words = {i: [(k, texts[i][int(a) : int(b)]) for k, a, b in spans if k not in PLAIN] for i, spans in found.items()}
+    assert all(words[i] == [("remove", "Zorblax"), ("remove", "zorblax")] for i in range(5))
+    assert words[10] == words[11] == [("generalise", "Quibble"), ("generalise", "quibble")]
+    assert not any(w for i, w in words.items() if i not in (0, 1, 2, 3, 4, 10, 11))
+    low = {r.doc_id: r.spans for r in sanitise.digests(documents(spark, texts), generalise_at=0.4).collect()}
+    at = texts[20].index("Lonely")
+    assert f"generalise:{at}:{at + 6}" in low[20]
+
+
 def test_brute_force_disclosure(spark):
     import math
 
