@@ -2,11 +2,15 @@
 personal data, mix sources to target weights, pack into sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns of
-documents. Between stages the documents are written and read again.
+documents. Between stages the documents are written and read again, which keeps rows but not their order: what the mixing
+stage decided travels as metadata of the first column (weights, from which the same positions follow), and packing fills
+and numbers sequences by it.
 """
 
 from __future__ import annotations
 
+import json
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +18,9 @@ from skarn.llm import mixing, packing, sanitise, simhash, toxicity
 from skarn.llm.catalogue import MIX_REST, MIX_WEIGHTS
 from skarn.llm.common import Stored, table
 
+#: Metadata of the first column of mixed documents: the weights as JSON.
+MIXED = "skarn.mixed"
+
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model, fitted on the labels, doesn't find toxic."""
@@ -31,13 +38,19 @@ def sanitise_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order that interleaves sources by their target weights."""
-    return mixing.mix(docs, MIX_WEIGHTS, MIX_REST)
+    """All documents, in the order that interleaves sources by their target weights; the weights go with the schema."""
+    mixed = mixing.mix(docs, MIX_WEIGHTS, MIX_REST)
+    return mixed.withMetadata(docs.columns[0], {**docs.schema[0].metadata, MIXED: json.dumps([MIX_WEIGHTS, MIX_REST])})
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequence and place."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Pieces of documents with their sequence and place, in mixed order where the documents were mixed."""
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    mixed = docs.schema[0].metadata.get(MIXED)
+    if mixed is None:
+        return packing.pack(docs, tokenizer)
+    placed = mixing.positions(docs, *json.loads(mixed))
+    return packing.pack(placed, tokenizer, order_column=placed.columns[-1])
 
 
 STAGES = [

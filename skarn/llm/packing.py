@@ -6,6 +6,11 @@ sequences with the least room left, as one range of ranks against one range of s
 only, a number that depends on the capacity and not on the documents. Each piece then takes its slot by its rank within
 its length, through a join of (task, length) offsets and a search in the plan.
 
+With an order of documents, the same slots are dealt anew: a sequence stands at its share of the sequences that its first
+slot's length opened, sequences are numbered by that, and the pieces of a length, in the order of documents, take the
+slots of that length in the order of sequences. So pieces that are near each other in the order share a sequence or are
+in near ones; where lengths are spread unevenly over the order, the order holds within each length. Ranks are counted by ranges of the order, with no window over all rows.
+
 Tokens come from a word cache: the tokenizer drops white space and works on each word by itself, so a text's ids are
 those of its words one after the other. The cache is emptied at ``CACHE_WORDS`` words, which bounds memory.
 
@@ -28,8 +33,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
 from .common import Stored, named, utf8
 
+UNITS = 1024
 CAPACITY, END_ID = 4096, 1
 CACHE_WORDS = 1_000_000  # about 200 MB
 
@@ -135,8 +142,9 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return out
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = False) -> DataFrame:
-    """Tokenised pieces (doc_id, piece, start, length, ids_crc32[, ids]) with their task and rank within task and length."""
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = False, order_column: str | None = None) -> DataFrame:
+    """Tokenised pieces (doc_id, piece, start, length, ids_crc32[, ids]) with their task and rank within task and length,
+    and with the document's ``place`` where a column of order is named."""
     end = np.array([end_id], dtype="<u4").tobytes()
     width = 4 * capacity
 
@@ -145,33 +153,36 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         task = TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
         for batch in batches:
-            rows: list[list] = [[] for _ in range(8)]
-            for doc, body in zip(batch.column(0), batch.column(1), strict=True):
-                ids, doc_id = tokens.ids(body.as_py()) + end, doc.as_py()
+            rows: list[list] = [[] for _ in range(9)]
+            for doc, body, order in zip(*batch.columns, strict=True):
+                ids, doc_id, place = tokens.ids(body.as_py()) + end, doc.as_py(), order.as_py()
                 for piece, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     length = len(part) // 4
-                    for column, value in zip(rows, (doc_id, piece, at // 4, length, zlib.crc32(part), task, seen[length], part if keep_ids else None), strict=True):
+                    for column, value in zip(rows, (doc_id, piece, at // 4, length, zlib.crc32(part), task, seen[length], place, part if keep_ids else None), strict=True):
                         column.append(value)
                     seen[length] += 1
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "task_rank", "ids"]
-            types = [pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.binary()]
-            kept = 8 if keep_ids else 7
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "task_rank", "place", "ids"]
+            types = [pa.int64(), pa.int32(), *[pa.int64()] * 6, pa.binary()]
+            kept = 9 if keep_ids else 8
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows[:kept], types, strict=False)], names=names[:kept])
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, task_rank long" + ", ids binary" * keep_ids
-    return docs.select(named(id_column).cast("long").alias("doc_id"), utf8(text_column).alias("body")).mapInArrow(scan, schema)
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, task_rank long, place long" + ", ids binary" * keep_ids
+    place = named(order_column) if order_column else F.lit(None)
+    return docs.select(named(id_column).cast("long").alias("doc_id"), utf8(text_column).alias("body"), place.cast("long").alias("place")).mapInArrow(scan, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = False) -> DataFrame:
-    """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset), with keep_ids also the ids' bytes."""
-    cut = Stored(pieces(docs, tokenizer, capacity, end_id, id_column, text_column, keep_ids), "packing-pieces").df
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = False, order_column: str | None = None) -> DataFrame:
+    """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset), with keep_ids also the ids' bytes. Sequences
+    follow order_column, numbers 0, 1, ... of the documents, where it is given."""
+    cut = Stored(pieces(docs, tokenizer, capacity, end_id, id_column, text_column, keep_ids, order_column), "packing-pieces").df
     by_task = Stored(cut.groupBy("length", "task").agg(F.count("*").alias("n")), "packing-counts").df
     totals = by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()  # at most capacity rows
     steps = np.array(plan({r["length"]: r["n"] for r in totals}, capacity), dtype=np.int64).reshape(-1, 5)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = by_task.select("length", "task", before.alias("before"))
-    kept = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
+    out = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
+    kept = [*out, *["place"] * bool(order_column)]
     ranked = cut.join(offsets, ["length", "task"]).select(*kept, (F.col("before") + F.col("task_rank")).alias("rank"))
     keys = (steps[:, 0] << 44) + steps[:, 1]
     order = np.argsort(keys)
@@ -184,5 +195,29 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
             slots = [pa.array(step[:, 3] + rank - step[:, 1]), pa.array(step[:, 4])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *slots], names=[*kept, "sequence_id", "offset"])
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, " + "ids binary, " * keep_ids + "sequence_id long, offset long"
-    return ranked.mapInArrow(place, schema)
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, " + "ids binary, " * keep_ids + "place long, " * bool(order_column) + "sequence_id long, offset long"
+    found = ranked.mapInArrow(place, schema)
+    if not order_column:
+        return found
+    opened = steps[steps[:, 4] == 0]  # a step for each length that opens sequences
+    return _in_order(Stored(found, "packing-found").df, opened[np.argsort(opened[:, 3])], out)
+
+
+def _in_order(found: DataFrame, opened: np.ndarray, out: list[str]) -> DataFrame:
+    """The pieces and slots of ``found``, dealt anew by the pieces' place. opened: the plan's steps at offset 0, by first
+    sequence."""
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sequence = batch.column(0).to_numpy()
+            step = opened[np.searchsorted(opened[:, 3], sequence, side="right") - 1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((sequence - step[:, 3] + 0.5) / step[:, 2])], names=["sequence_id", "share"])
+
+    begun = found.where("offset = 0").select("sequence_id").mapInArrow(shares, "sequence_id long, share double").withColumn("all", F.lit(0))
+    numbered = Stored(ranks.placed_in(begun, ["all"], (F.col("share") * UNITS).cast("int"), ["share", "sequence_id"], "number").select("sequence_id", "number"), "packing-numbers").df
+    slots = found.select("length", "sequence_id", "offset").join(numbered, "sequence_id").drop("sequence_id")
+    many = max(1, -(-int(opened[:, 2].sum()) // UNITS))
+    slots = ranks.placed_in(slots, ["length"], F.expr(f"number div {many}"), ["number", "offset"], "rank")
+    last = found.agg(F.max("place")).first()[0] or 0
+    taken = ranks.placed_in(found.select(*out, "place"), ["length"], F.expr(f"place div {last // UNITS + 1}"), ["place", "piece"], "rank")
+    return taken.join(slots, ["length", "rank"]).select(*out, F.col("number").alias("sequence_id"), "offset")

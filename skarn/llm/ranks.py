@@ -20,3 +20,12 @@ def before_units(counts: DataFrame, group: list[str], unit: str, n: str = "n") -
 def within_unit(group: list[str], unit: str, order: list[str]) -> Column:
     """The 0-based place of a row in its unit of its group."""
     return F.row_number().over(Window.partitionBy(*group, unit).orderBy(*order)).cast("long") - 1
+
+
+def placed_in(df: DataFrame, group: list[str], unit: Column, order: list[str], name: str) -> DataFrame:
+    """df with column ``name``, the 0-based place of a row in its group by (unit, order); unit rises with the order."""
+    cut = df.withColumn("_unit", unit)
+    counts = cut.groupBy(*group, "_unit").agg(F.count("*").alias("n"))
+    before = before_units(counts, group, "_unit").select(*group, "_unit", F.col("before").alias("_before"))
+    ranked = cut.withColumn("_within", within_unit(group, "_unit", order)).join(before, [*group, "_unit"])
+    return ranked.withColumn(name, F.col("_within") + F.col("_before")).drop("_unit", "_within", "_before")

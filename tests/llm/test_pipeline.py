@@ -2,6 +2,7 @@ from collections import Counter
 
 import corpus_pipeline
 from skarn.llm import packing, sanitise, toxicity
+from skarn.llm.common import Stored
 from test_simhash import plain_components, plain_fingerprint
 import public_tokenizers
 
@@ -45,3 +46,33 @@ def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert 0 < out.count()
+
+
+def test_mixing_decides_the_sequences(spark, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "MIX_WEIGHTS", {"rare": 0.5})
+    monkeypatch.setattr(corpus_pipeline, "MIX_REST", 0.5)
+    rows = [(i, "word " * (200 + 300 * (i // 8 % 4)), "en", "rare" if i % 8 == 0 else "hot", 1) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(7)
+    rare = {i for i, *_, source, _ in rows if source == "rare"}
+    stages = dict(corpus_pipeline.STAGES)
+
+    def packed(df):
+        df = Stored(df, "test-mixed").df
+        out = stages["packing"](spark, df, None).collect()
+        places = {}
+        for r in out:
+            places.setdefault(r.sequence_id, []).append((r.offset, r.length, r.doc_id))
+        for slots in places.values():
+            ends = [0, *(a + n for a, n, _ in sorted(slots))]
+            assert [a for a, *_ in sorted(slots)] == ends[:-1] and ends[-1] <= packing.CAPACITY
+        assert sorted(places) == list(range(len(places))) and sorted(r.doc_id for r in out) == list(range(800))
+        first = [d for s in range(len(places) // 8) for _, _, d in places[s]]
+        return places, sum(d in rare for d in first) / len(first)
+
+    plain, without = packed(docs)
+    mixed, share = packed(stages["mixing"](spark, docs, None))
+    assert len(mixed) == len(plain) and without < 0.25
+    # Rare documents are an eighth, take turns with the others, and end after a fourth of the mixed order.
+    assert 0.4 < share < 0.6
+    late = [d for s in range(len(mixed) // 2, len(mixed)) for _, _, d in mixed[s]]
+    assert not rare & set(late)
