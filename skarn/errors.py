@@ -28,6 +28,10 @@ class StorageError(EngineError):
     pass
 
 
+class ConstraintError(StorageError):
+    """A change that NOT NULL, PRIMARY KEY or UNIQUE forbids; the table stays as it was."""
+
+
 class TransactionError(EngineError):
     pass
 

@@ -30,3 +30,10 @@ def aggregate(spark: SparkSession, name: str, function: Callable[[pd.Series], fl
     made = F.pandas_udf(call, returns)
     spark.udf.register(name, made)
     return made
+
+
+def table(spark: SparkSession, name: str, handler: type, returns: str) -> Callable:
+    """Registers a table function: a class whose ``eval`` yields rows, usable in FROM and LATERAL."""
+    made = F.udtf(handler, returnType=returns)
+    spark.udtf.register(name, made)
+    return made

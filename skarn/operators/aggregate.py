@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ExecutionError
+from ..tools import free_name
 
 #: Aggregates by name; each ignores nulls, count of "*" counts rows.
 FUNCTIONS: dict[str, Callable[[Column], Column]] = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count_distinct": F.count_distinct}
@@ -35,5 +36,6 @@ def group(df: DataFrame, keys: Sequence[str | Column], *aggregates: Column) -> D
 def two_phase(df: DataFrame, keys: Sequence[str], sums: Sequence[str], salts: int = 16) -> DataFrame:
     """Counts and sums by key in two shuffles, first by key and salt: for keys so hot that even partial results of many
     tasks are too many for one task. Columns: keys, n, sum_<column>."""
-    first = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts))).groupBy(*keys, "_salt").agg(F.count("*").alias("n"), *[F.sum(c).alias(f"sum_{c}") for c in sums])
+    salt = free_name(df, "_salt")
+    first = df.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts))).groupBy(*keys, salt).agg(F.count("*").alias("n"), *[F.sum(c).alias(f"sum_{c}") for c in sums])
     return first.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.sum(f"sum_{c}").alias(f"sum_{c}") for c in sums])

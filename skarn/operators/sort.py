@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tools import Stored, free_name
+
 
 def keys(*columns: str | tuple[str, str]) -> list[Column]:
     """Sort keys from names or (name, "asc" | "desc"); nulls last."""
@@ -24,18 +26,18 @@ def sort(df: DataFrame, *columns: str | tuple[str, str]) -> DataFrame:
 def positions(df: DataFrame, *columns: str | tuple[str, str], within: Sequence[str] = (), name: str = "pos") -> DataFrame:
     """The 1-based place of each row in the sorted order, of the table or within groups, as a column.
 
-    The place in a whole table comes from a distributed sort: rows are dealt by ranges of all keys, so that
-    one frequent value of the first is spread, ranked there, and the counts of earlier ranges are added."""
+    The place in a whole table comes from a distributed sort: rows are dealt by ranges of all keys, so that one frequent
+    value of the first is spread, and numbered there; the table is stored so, as ranges are sampled and both uses of them
+    must see the same, and the counts of earlier ranges are added. Rows equal in all keys are in one range."""
     order = keys(*columns)
     if within:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*order)).cast("long"))
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    # Rows equal in all keys are in one range, so the order of (range, place in it) is the whole order.
-    split = parts.withColumn("_part", F.shiftright("_id", 33)).withColumn("_row", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
-    split = split.checkpoint()  # ranges are sampled: both uses below must see the same ones
-    counts = split.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return split.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_row") + 1).drop("_id", "_part", "_row", "_before")
+    part, row, before = (free_name(df, n) for n in ("_part", "_row", "_before"))
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    split = Stored(dealt.withColumn(part, F.spark_partition_id()).withColumn(row, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "positions").df
+    counts = split.groupBy(part).agg(F.count("*").alias("_n"))  # a row for each range
+    earlier = counts.select(part, F.coalesce(F.sum("_n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    return split.join(F.broadcast(earlier), part).withColumn(name, F.col(before) + F.col(row) + 1).drop(part, row, before)
 
 
 def top(df: DataFrame, n: int, *columns: str | tuple[str, str]) -> DataFrame:

@@ -80,7 +80,7 @@ def scan_bitmap(s, d):
 
 @query("SELECT count(*) AS n_rows, count(DISTINCT l_orderkey) AS n_orders FROM lineitem")
 def scan_parallel(s, d):
-    return scan.parallel_scan(table(s, d, "lineitem"), ["l_orderkey"], 4).agg(F.count("*").alias("n_rows"), F.count_distinct("l_orderkey").alias("n_orders"))
+    return scan.parallel_scan(table(s, d, "lineitem"), ["l_orderkey"]).agg(F.count("*").alias("n_rows"), F.count_distinct("l_orderkey").alias("n_orders"))
 
 
 @query("SELECT o_orderkey, CAST(floor(o_orderkey / 1000) AS BIGINT) AS shard FROM orders WHERE (o_orderkey >= 0 AND o_orderkey < 250) OR (o_orderkey >= 250 AND o_orderkey < 1200)")
@@ -101,9 +101,9 @@ def shard_stats(s, d):
 # Key-value access.
 
 
-@query("SELECT p_name AS value FROM part WHERE concat('part:', lpad(CAST(p_partkey AS STRING), 6, '0')) = 'part:000042'")
+@query("SELECT p_name AS value FROM part WHERE p_partkey = 42")
 def kv_point_get(s, d):
-    return kv.get(kv.from_items(table(s, d, "part"), "p_partkey", "p_name", "part"), "part:000042")
+    return kv.Keyed(table(s, d, "part"), "p_partkey", "p_name", "part").get("part:0000000000000000042")
 
 
 @query("SELECT t.k, p.p_name AS value FROM (VALUES (42),(43),(99999999)) AS t(k) LEFT JOIN part p ON p.p_partkey = t.k")
@@ -112,9 +112,9 @@ def kv_batch_get(s, d):
     return kv.batch_get(parts, kv.keys(parts, [42, 43, 99999999], "int"))
 
 
-@query("SELECT concat('part:', lpad(CAST(p_partkey AS STRING), 6, '0')) AS k, p_name AS value FROM part WHERE p_partkey >= 10 AND p_partkey < 150 ORDER BY k LIMIT 100")
+@query("SELECT format('part:{:019d}', p_partkey) AS k, p_name AS value FROM part WHERE p_partkey >= 10 AND p_partkey < 150 ORDER BY p_partkey LIMIT 100")
 def kv_scan_limit(s, d):
-    return kv.scan(kv.from_items(table(s, d, "part"), "p_partkey", "p_name", "part"), "part:000010", "part:000150", 100)
+    return kv.Keyed(table(s, d, "part"), "p_partkey", "p_name", "part").scan("part:000000000000000001", "part:0000000000000000150", 100)
 
 
 @query("SELECT c_custkey AS k, c_mktsegment AS value FROM customer WHERE c_custkey >= 10 UNION ALL SELECT c_custkey, 'UPDATED' FROM customer WHERE c_custkey < 10 UNION ALL SELECT c_custkey + 1000000, 'NEW' FROM customer WHERE c_custkey < 5")
@@ -130,10 +130,12 @@ def kv_delete(s, d):
     return kv.delete(customers, kv.keys(customers, [1, 2, 3, 99999999]))
 
 
-@query("SELECT user_id AS k, event_type AS value FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) t WHERE rn = 1 AND event_type <> 'error'")
+@query("""SELECT user_id AS k, event_type AS value FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) t WHERE rn = 1 AND event_type <> 'error'
+UNION ALL SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)""")
 def kv_batch(s, d):
+    base = kv.from_items(table(s, d, "customer"), "c_custkey", "c_mktsegment")
     log = table(s, d, "events").select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "DELETE").otherwise("PUT").alias("op"), F.col("user_id").alias("k"), F.col("event_type").alias("value"))
-    return kv.apply(log.select("k", "value").limit(0), log)
+    return kv.apply(base, log)
 
 
 # Changes and transactions.
@@ -165,21 +167,21 @@ def dml_delete(s, d):
 
 def _accounts(s: SparkSession, d: str) -> tuple[TableStore, Transaction]:
     store = TableStore(s)
-    store.create("accounts", table(s, d, "customer").where("c_custkey < 10").select("c_custkey", "c_acctbal"))
+    store.create("accounts", table(s, d, "customer").select("c_custkey", "c_acctbal"))
     transaction = Transaction(store)
     for key, change in ((1, -100.0), (2, 100.0)):
         transaction.change("accounts", dml.update({"c_acctbal": F.col("c_acctbal") + change}, F.col("c_custkey") == key))
     return store, transaction
 
 
-@query("SELECT c_custkey, c_acctbal + CASE c_custkey WHEN 1 THEN CAST(-100 AS DOUBLE) WHEN 2 THEN CAST(100 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS balance FROM customer WHERE c_custkey < 10")
+@query("SELECT c_custkey, c_acctbal + CASE c_custkey WHEN 1 THEN CAST(-100 AS DOUBLE) WHEN 2 THEN CAST(100 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS balance FROM customer")
 def txn_transfer(s, d):
     store, transaction = _accounts(s, d)
     transaction.commit()
     return store.read("accounts").withColumnRenamed("c_acctbal", "balance")
 
 
-@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey < 10")
+@query("SELECT c_custkey, c_acctbal FROM customer")
 def txn_rollback(s, d):
     store, transaction = _accounts(s, d)
     transaction.rollback()
@@ -250,9 +252,9 @@ def join_right(s, d):
     return joins.join(table(s, d, "lineitem"), table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "RIGHT").select("l_orderkey", "l_linenumber", "o_orderkey")
 
 
-@query("SELECT o_orderkey, l_orderkey, l_linenumber FROM (SELECT * FROM orders WHERE o_orderkey < 200) o FULL JOIN (SELECT * FROM lineitem WHERE l_orderkey >= 100 AND l_orderkey < 300) l ON l_orderkey = o_orderkey")
+@query("SELECT o_orderkey, l_orderkey, l_linenumber FROM (SELECT * FROM orders WHERE o_orderstatus = 'F') o FULL JOIN lineitem ON l_orderkey = o_orderkey")
 def join_full(s, d):
-    return joins.join(table(s, d, "orders").where("o_orderkey < 200"), table(s, d, "lineitem").where("l_orderkey >= 100 AND l_orderkey < 300"), F.col("l_orderkey") == F.col("o_orderkey"), "FULL").select("o_orderkey", "l_orderkey", "l_linenumber")
+    return joins.join(table(s, d, "orders").where("o_orderstatus = 'F'"), table(s, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "FULL").select("o_orderkey", "l_orderkey", "l_linenumber")
 
 
 @query("SELECT n_nationkey, r_regionkey FROM nation JOIN region ON n_regionkey < r_regionkey")
@@ -276,10 +278,10 @@ def join_sort_merge(s, d):
     return joins.join(table(s, d, "lineitem"), table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), strategy="MERGE").select("l_orderkey", "l_linenumber", "o_orderstatus")
 
 
-@query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_custkey % 5 = s_suppkey % 5")
+@query("SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_linestatus = o_orderstatus")
 def join_multi_key(s, d):
-    on = [F.col("c_nationkey") == F.col("s_nationkey"), F.col("c_custkey") % 5 == F.col("s_suppkey") % 5]
-    return joins.join(table(s, d, "customer"), table(s, d, "supplier"), on).select("c_custkey", "s_suppkey")
+    on = [F.col("l_orderkey") == F.col("o_orderkey"), F.col("l_linestatus") == F.col("o_orderstatus")]
+    return joins.join(table(s, d, "lineitem"), table(s, d, "orders"), on).select("l_orderkey", "l_linenumber", "o_custkey")
 
 
 @query("SELECT a.r_name AS r1, b.r_name AS r2 FROM region a CROSS JOIN region b")
@@ -399,7 +401,7 @@ def limit_offset(s, d):
 
 def _nations(s: SparkSession, d: str, all_suppliers: bool = False) -> tuple[DataFrame, DataFrame]:
     supplier = table(s, d, "supplier")
-    few = supplier if all_suppliers else supplier.where("s_suppkey < 5")
+    few = supplier if all_suppliers else supplier.where("s_acctbal < 0")
     return table(s, d, "customer").select(F.col("c_nationkey").alias("k")), few.select(F.col("s_nationkey").alias("k"))
 
 
@@ -413,22 +415,22 @@ def union_distinct(s, d):
     return setops.union(*_nations(s, d, True), distinct=True)
 
 
-@query("SELECT c_nationkey AS k FROM customer WHERE EXISTS (SELECT 1 FROM supplier WHERE s_suppkey < 5 AND s_nationkey IS NOT DISTINCT FROM c_nationkey)")
+@query("SELECT c_nationkey AS k FROM customer WHERE EXISTS (SELECT 1 FROM supplier WHERE s_acctbal < 0 AND s_nationkey IS NOT DISTINCT FROM c_nationkey)")
 def intersect_bag(s, d):
     return setops.intersect(*_nations(s, d), bag=True)
 
 
-@query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier WHERE s_suppkey < 5")
+@query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal < 0")
 def intersect_set(s, d):
     return setops.intersect(*_nations(s, d))
 
 
-@query("SELECT c_nationkey AS k FROM customer WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey < 5 AND s_nationkey IS NOT DISTINCT FROM c_nationkey)")
+@query("SELECT c_nationkey AS k FROM customer WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_acctbal < 0 AND s_nationkey IS NOT DISTINCT FROM c_nationkey)")
 def except_bag(s, d):
     return setops.difference(*_nations(s, d), bag=True)
 
 
-@query("SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 5")
+@query("SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal < 0")
 def except_set(s, d):
     return setops.difference(*_nations(s, d))
 
