@@ -3,54 +3,23 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..tools import Stored, free_name, named, shared_folder
+
+__all__ = ["SPACE", "Stored", "free_name", "named", "planned", "shared_folder", "table", "utf8"]
+
 #: ASCII white space; words are the runs between it.
 SPACE = "\\x20\\x09-\\x0D"
 
-_own_folder: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; a folder of our own only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_folder:
-        _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="skarn-shared-")
-    return _own_folder[app]
-
-
-class Stored:
-    """A table written to the shared folder: its lineage is cut, and a lost executor costs no recomputation."""
-
-    def __init__(self, df: DataFrame, label: str, by: list[str] | None = None):
-        self.spark = df.sparkSession
-        self.path = f"{shared_folder(self.spark)}/skarn/{label}-{uuid.uuid4().hex}"
-        writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(*by) if by else writer).parquet(self.path)
-        self.schema = df.schema
-
-    @property
-    def df(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def planned(spark: SparkSession, rows: list[list], schema: str) -> DataFrame:
     """A small driver-made table as JVM rows (no Python on the executors). Its size must be bounded by the caller."""
     struct = T._parse_datatype_string(schema)
@@ -60,19 +29,6 @@ def planned(spark: SparkSession, rows: list[list], schema: str) -> DataFrame:
     return spark.range(1, numPartitions=1).select(F.inline(parsed))
 
 
-def free_name(df: DataFrame, wanted: str) -> str:
-    """``wanted``, or that with underscores in front until no column of df has the name (in any case)."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
-        wanted = "_" + wanted
-    return wanted
-
-
-def named(column: str) -> Column:
-    """A column by its literal name, dots and backticks included."""
-    return F.col("`" + column.replace("`", "``") + "`")
-
-
 def utf8(column: str) -> Column:
     """The UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(named(column), F.lit("")).cast("binary")
