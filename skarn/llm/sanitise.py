@@ -6,11 +6,13 @@ counting documents and n(e, t) the different texts that hold both (copies of a t
 
     PMI(e; t) / IC(e) * n(e, t)^2 / (n(e, t)^2 + 1),    PMI(e; t) / IC(e) = log(N df(e, t) / (df(e) df(t))) / log(N / df(e)).
 
-The quotient is 1 at most, for a term that occurs with the entity alone, and near 0 for a term that occurs anywhere; the
-factor is smoothing by evidence. So every entity takes part, also one in a single text, where any word of its own has the
-quotient 1 but half the disclosure. A term whose disclosure reaches ``generalise_at`` is generalised at every place in all
-texts that hold the entity, that is replaced by its kind of word, and removed from ``remove_at`` on. The sanitised text
-has a label in place of each base span.
+The quotient is 1 at most, for a term that occurs with the entity alone: then the term gives away all the information
+content of the entity, as who looks for the term finds the entity. It is near 0 for a term that occurs anywhere. The
+factor is smoothing by evidence: 0.5 for one text, 0.8 for two, 0.9 for three. A term whose disclosure reaches
+``generalise_at`` is generalised at every place in all texts that hold the entity, that is replaced by its kind of word,
+and removed from ``remove_at`` on. So at the defaults (0.5, 0.8) a word that stands in no text but the one with the entity
+is generalised, and one that goes with the entity from text to text is removed. The sanitised text has a label in place
+of each base span.
 
 Entities that stand in the same texts have the same figures and are counted as one class, so a text full of values costs
 as much as one with a single value.
@@ -19,11 +21,14 @@ The patterns are written so that they take time in proportion to a text and no s
 run of its characters (or where the last match ended), and repeats don't backtrack. They match what plain greedy ones do.
 
 Defined cases: a null text counts as empty and comes back as null from ``sanitise``; null and repeated ids are carried;
+U+E000 in a text with base spans becomes a space in the sanitised text;
 equal texts get equal spans; an empty table gives an empty result; other columns are carried as they are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,11 +46,16 @@ PATTERNS = {
 HOLDS = {"email": "@", "ip": ".", "phone": "+"}
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 WORD = r"[\p{L}\p{N}][\p{L}\p{N}\p{M}'_-]*+"
-GENERALISE_AT, REMOVE_AT = 0.8, 0.95
+GENERALISE_AT, REMOVE_AT = 0.5, 0.8
+#: How far a disclosure may stay below a threshold that it equals but for rounding.
+ROUNDING = 1e-9
 
 #: A character for private use that stands for those of base spans, and words that may hold it.
 MASK = "\ue000"
 MASKED_WORD = rf"[\p{{L}}\p{{N}}{MASK}][\p{{L}}\p{{N}}\p{{M}}'_{MASK}-]*+"
+#: The same words where a base span is its label between two MASK.
+LABEL = f"{MASK}[^{MASK}]*{MASK}"
+LABELLED_WORD = rf"(?:[\p{{L}}\p{{N}}]|{LABEL})(?:[\p{{L}}\p{{N}}\p{{M}}'_-]|{LABEL})*+"
 
 SPAN = "struct<start:int,order:int,end:int,value:string>"
 
@@ -114,18 +124,29 @@ def _count(kind: str) -> Column:
     return F.size(F.filter("base", lambda s: s["order"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
 
 
-def _masked(text: Column, spans: Column) -> Column:
-    """The text with MASK for each character of a span, all others at their places."""
+def _filled(text: Column, spans: Column, fill: Callable[[Column, Column], Column]) -> Column:
+    """The text with ``fill(end so far, span)`` in place of each span."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     plain = F.translate(text, MASK, " ")
 
     def step(acc: Column, s: Column) -> Column:
-        fresh = F.array(F.substring(plain, acc["at"] + 1, s["start"] - acc["at"]), F.repeat(F.lit(MASK), s["end"] - F.greatest(acc["at"], s["start"])))
+        fresh = F.array(F.substring(plain, acc["at"] + 1, s["start"] - acc["at"]), fill(acc["at"], s))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], fresh).alias("out"))
 
     return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(plain, acc["at"] + 1, F.length(plain))))
 
 
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with MASK for each character of a span, all others at their places."""
+    return _filled(text, spans, lambda at, s: F.repeat(F.lit(MASK), s["end"] - F.greatest(at, s["start"])))
+
+
+def _labelled(text: Column, spans: Column) -> Column:
+    """The text with a label between two MASK for each span; spans that overlap count as one, with the first one's label."""
+    labels = F.array(*[F.lit(f"{MASK}[{k.upper()}]{MASK}") for k in PATTERNS])
+    return _filled(text, spans, lambda at, s: F.when(s["start"] >= at, F.element_at(labels, s["order"] + 1)).otherwise(F.lit("")))
+
+
 def _terms(text: Column, pattern: str = WORD) -> Column:
     """The different words of a text, in lower case; those that touch a masked span are left out."""
     words = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -151,42 +172,62 @@ def _classes(seen: DataFrame) -> DataFrame:
     return seen.join(of, "entity").select("text_key", "class", "entity_df").distinct()
 
 
-def term_spans(docs: DataFrame, found: DataFrame, text_column: str = "text", generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
-    """Rows (text_key, added): spans of revealing terms by text, array of (start, order, end, value)."""
+def telling(docs: DataFrame, found: DataFrame, text_column: str = "text", generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> tuple[Stored, Stored]:
+    """The different texts with base spans (text_key, copies, base, body, masked), and the terms that are marked in each,
+    (text_key, term, order). found: a stored ``find`` of docs."""
     once = found.where(F.size("base") > 0).groupBy("text_key").agg(F.count("*").alias("copies"), F.first("base").alias("base"), F.first("body").alias("body"))
-    texts = Stored(once.withColumn("masked", _masked(F.col("body"), F.col("base"))), "sanitise-texts").df
+    texts = Stored(once.withColumn("masked", _masked(F.col("body"), F.col("base"))), "sanitise-texts")
     entity = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["order"], F.lower(s["value"]))))
-    classes = Stored(_classes(texts.select("text_key", "copies", F.explode(entity).alias("entity"))), "sanitise-classes").df
-    terms = Stored(texts.select("text_key", "copies", F.explode(_terms(F.col("masked"), MASKED_WORD)).alias("term")), "sanitise-terms").df
+    classes = Stored(_classes(texts.df.select("text_key", "copies", F.explode(entity).alias("entity"))), "sanitise-classes")
+    terms = Stored(texts.df.select("text_key", "copies", F.explode(_terms(F.col("masked"), MASKED_WORD)).alias("term")), "sanitise-terms")
     evidence = F.count("*").cast("double")
-    pair = classes.join(terms, "text_key").groupBy("class", "term").agg(F.sum("copies").alias("pair_df"), F.first("entity_df").alias("entity_df"), (evidence * evidence / (evidence * evidence + 1)).alias("smoothing"))
-    # The quotient is 1 at most, so that no pair below can reach the threshold.
-    pairs = Stored(pair.where(F.col("smoothing") >= generalise_at), "sanitise-pairs").df
+    pair = classes.df.join(terms.df, "text_key").groupBy("class", "term").agg(F.sum("copies").alias("pair_df"), F.first("entity_df").alias("entity_df"), (evidence * evidence / (evidence * evidence + 1)).alias("smoothing"))
+    # The quotient is 1 at most, so that a pair whose smoothing is below the threshold can't reach it.
+    pairs = pair.where(F.col("smoothing") >= generalise_at - ROUNDING)
     # Words outside base spans: those of all texts, less those of texts with spans, and these with their spans masked.
     every = docs.select(F.explode(_terms(F.coalesce(named(text_column).cast("string"), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    less = texts.select(F.explode(_terms(F.col("body"))).alias("term"), (-F.col("copies")).alias("n"))
-    words = every.union(less).union(terms.select("term", F.col("copies").alias("n")))
+    less = texts.df.select(F.explode(_terms(F.col("body"))).alias("term"), (-F.col("copies")).alias("n"))
+    words = every.union(less).union(terms.df.select("term", F.col("copies").alias("n")))
     term_df = words.groupBy("term").agg(F.sum("n").alias("term_df"))
     n = F.lit(float(max(1, found.count())))
     information = F.log(n / F.col("entity_df"))
     shared = F.log(n * F.col("pair_df") / (F.col("entity_df") * F.col("term_df")))
     scored = pairs.join(term_df, "term").withColumn("disclosure", F.when(information > 0, F.col("smoothing") * shared / information).otherwise(F.lit(0.0)))
-    order = F.when(F.col("disclosure") >= remove_at, F.lit(KINDS.index("remove"))).otherwise(F.lit(KINDS.index("generalise")))
-    telling = scored.where(F.col("disclosure") >= generalise_at).select("class", "term", order.alias("order"))
-    marked = classes.join(telling, "class").groupBy("text_key", "term").agg(F.max("order").alias("order"))
-    marked = Stored(marked.join(terms.select("text_key", "term"), ["text_key", "term"]), "sanitise-marked").df
-    hits = _places(texts.join(marked.select("text_key").distinct(), "text_key", "left_semi")).join(marked, ["text_key", "term"])
-    return hits.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("start", "order", "end", F.col("term").alias("value")))).alias("added"))
+    order = F.when(F.col("disclosure") >= remove_at - ROUNDING, F.lit(KINDS.index("remove"))).otherwise(F.lit(KINDS.index("generalise")))
+    found_terms = scored.where(F.col("disclosure") >= generalise_at - ROUNDING).select("class", "term", order.alias("order"))
+    marked = classes.df.join(found_terms, "class").groupBy("text_key", "term").agg(F.max("order").alias("order"))
+    out = Stored(marked.join(terms.df.select("text_key", "term"), ["text_key", "term"]), "sanitise-marked")
+    classes.drop()
+    terms.drop()
+    return texts, out
+
+
+def _words(texts: DataFrame, text: Column, pattern: str) -> DataFrame:
+    """Rows (text_key, k, gap, word, term): the words of texts with the text before each; at last the rest, without a word."""
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    steps = F.arrays_zip(values.alias("word"), F.split(text, pattern, -1).alias("gap"))
+    rows = texts.select("text_key", F.posexplode(steps).alias("k", "w")).select("text_key", "k", "w.gap", "w.word")
+    return rows.withColumn("term", F.lower("word"))
 
 
-def _places(texts: DataFrame) -> DataFrame:
-    """Rows (text_key, term, start, end): every word of the masked texts. Places are sums of sizes over a text's words."""
-    values = F.regexp_extract_all(F.col("masked"), F.lit(MASKED_WORD), F.lit(0))
-    gaps = F.transform(F.split("masked", MASKED_WORD, -1), lambda p: F.length(p))
-    words = texts.select("text_key", F.posexplode(F.arrays_zip(values.alias("value"), gaps.alias("gap"))).alias("k", "w")).where("w.value IS NOT NULL")
+def term_spans(texts: DataFrame, marked: DataFrame) -> DataFrame:
+    """Rows (text_key, added): spans of marked terms by text, array of (start, order, end, value). Places are sums of sizes
+    over a text's words."""
+    words = _words(texts.join(marked.select("text_key").distinct(), "text_key", "left_semi"), F.col("masked"), MASKED_WORD).where("word IS NOT NULL")
     so_far = Window.partitionBy("text_key").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = words.select("text_key", F.lower("w.value").alias("term"), F.length("w.value").alias("size"), F.sum(F.col("w.gap") + F.length("w.value")).over(so_far).cast("int").alias("end"))
-    return ends.select("text_key", "term", (F.col("end") - F.col("size")).alias("start"), "end")
+    size = F.length("word")
+    ends = words.select("text_key", "term", size.alias("size"), F.sum(F.length("gap") + size).over(so_far).cast("int").alias("end"))
+    hits = ends.select("text_key", "term", (F.col("end") - F.col("size")).alias("start"), "end").join(marked, ["text_key", "term"])
+    return hits.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("start", "order", "end", F.col("term").alias("value")))).alias("added"))
+
+
+def rewritten(texts: DataFrame, marked: DataFrame) -> DataFrame:
+    """Rows (text_key, clean): the texts with base spans as they come out, put together from their words."""
+    words = _words(texts, _labelled(F.col("body"), F.col("base")), LABELLED_WORD).join(marked, ["text_key", "term"], "left")
+    general = F.when(F.col("word").rlike(r"\p{N}"), F.lit("[NUMBER]")).otherwise(F.lit("[WORD]"))
+    shown = F.when(F.col("order") == KINDS.index("remove"), F.lit("")).when(F.col("order") == KINDS.index("generalise"), general).otherwise(F.translate(F.coalesce("word", F.lit("")), MASK, ""))
+    pieces = F.sort_array(F.collect_list(F.struct("k", F.concat("gap", shown).alias("piece"))))
+    return words.groupBy("text_key").agg(pieces.alias("pieces")).select("text_key", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("clean"))
 
 
 def _span_text(spans: Column) -> Column:
@@ -197,34 +238,24 @@ def _span_text(spans: Column) -> Column:
 def digests(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **thresholds: float) -> DataFrame:
     """Rows (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for each of docs."""
     found = Stored(find(docs, text_column, doc_id=named(id_column)), "sanitise-found").df
-    added = Stored(term_spans(docs, found, text_column, **thresholds), "sanitise-added").df
+    texts, marked = telling(docs, found, text_column, **thresholds)
+    added = Stored(term_spans(texts.df, marked.df), "sanitise-added").df
+    texts.drop()
+    marked.drop()
     both = found.drop("body").join(added, "text_key", "left")
     every = F.when(F.col("added").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "added")))
     return both.select("doc_id", *[_count(kind) for kind in PATTERNS], F.sha2(_span_text(F.col("base")), 256).alias("base_sha256"), _span_text(every).alias("spans"))
 
 
-def _rewritten(text: Column, spans: Column) -> Column:
-    """The text with a label for each span; spans that overlap count as one, with the first one's label."""
-    labels = F.array(*[F.lit(f"[{k.upper()}]") for k in PATTERNS])
-    general = lambda s: F.when(s["value"].rlike(r"\p{N}"), F.lit("[NUMBER]")).otherwise(F.lit("[WORD]"))
-    label = lambda s: F.when(s["order"] == KINDS.index("remove"), F.lit("")).when(s["order"] == KINDS.index("generalise"), general(s)).otherwise(F.element_at(labels, F.least(s["order"] + 1, F.lit(len(PATTERNS)))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), label(s))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], fresh)).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-
-
 def sanitise(docs: DataFrame, text_column: str = "text", **thresholds: float) -> DataFrame:
     """docs with the text column sanitised; rows without spans are unchanged."""
-    found = Stored(find(docs, text_column), "sanitise-found").df
-    added = Stored(term_spans(docs, found, text_column, **thresholds), "sanitise-added").df
-    key, base, more = free_name(docs, "text_key"), free_name(docs, "base_spans"), free_name(docs, "added_spans")
-    body = F.coalesce(named(text_column).cast("string"), F.lit(""))
-    keyed = docs.withColumn(key, F.md5(body.cast("binary"))).withColumn(base, base_spans(body))
-    joined = keyed.join(added.select(F.col("text_key").alias(key), F.col("added").alias(more)), key, "left")
-    every = F.when(F.col(more).isNull(), F.col(base)).otherwise(F.sort_array(F.concat(base, more)))
-    text = F.when(F.size(base) > 0, _rewritten(named(text_column), every)).otherwise(named(text_column))
+    found = Stored(find(docs, text_column), "sanitise-found")
+    texts, marked = telling(docs, found.df, text_column, **thresholds)
+    clean = Stored(rewritten(texts.df, marked.df), "sanitise-clean").df
+    for old in (found, texts, marked):
+        old.drop()
+    key, new = free_name(docs, "text_key"), free_name(docs, "clean_text")
+    keyed = docs.withColumn(key, F.md5(F.coalesce(named(text_column).cast("string"), F.lit("")).cast("binary")))
+    joined = keyed.join(clean.select(F.col("text_key").alias(key), F.col("clean").alias(new)), key, "left")
+    text = F.coalesce(F.col(new), named(text_column).cast("string"))
     return joined.select(*[text.alias(c) if c == text_column else named(c) for c in docs.columns])

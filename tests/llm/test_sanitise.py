@@ -1,6 +1,11 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter, defaultdict
+
+import pytest
+import regex
 
 from skarn.llm import sanitise
 
@@ -12,6 +17,10 @@ PLAIN = {
 }
 
 
+#: Thresholds that two texts at least must back.
+STRICT = {"generalise_at": 0.8, "remove_at": 0.95}
+
+
 def luhn(digits):
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -71,7 +80,7 @@ def revealing(spark):
 
 def test_terms_that_reveal_an_entity_are_found_near_it(spark):
     docs, texts = revealing(spark)
-    found = {r.doc_id: r for r in sanitise.digests(docs).collect()}
+    found = {r.doc_id: r for r in sanitise.digests(docs, **STRICT).collect()}
     for i, text in enumerate(texts):
         spans = [s.split(":") for s in found[i].spans.split(",") if s]
         base = [s for s in spans if s[0] in PLAIN]
@@ -90,7 +99,7 @@ def test_rare_entities_and_far_terms_take_part(spark):
     for i in (10, 11):
         texts[i] = f"Quibble 10.0.0.7 {filler(60)} quibble"
     texts[20] = f"{filler(30)} single@y.org {filler(30)} Lonely 1.2.3.4.x7"
-    found = {r.doc_id: [s.split(":") for s in r.spans.split(",") if s] for r in sanitise.digests(documents(spark, texts)).collect()}
+    found = {r.doc_id: [s.split(":") for s in r.spans.split(",") if s] for r in sanitise.digests(documents(spark, texts), **STRICT).collect()}
     words = {i: [(k, texts[i][int(a) : int(b)]) for k, a, b in spans if k not in PLAIN] for i, spans in found.items()}
     assert all(words[i] == [("remove", "Zorblax"), ("remove", "zorblax")] for i in range(5))
     assert words[10] == words[11] == [("generalise", "Quibble"), ("generalise", "quibble")]
@@ -100,20 +109,73 @@ def test_rare_entities_and_far_terms_take_part(spark):
     assert f"generalise:{at}:{at + 6}" in low[20]
 
 
-def test_brute_force_disclosure(spark):
-    import math
-
-    docs, texts = revealing(spark)
-    telling = {s.split(":")[0] for r in sanitise.digests(docs, generalise_at=0.3, remove_at=2.0).collect() for s in r.spans.split(",") if s}
-    assert "generalise" in telling and "remove" not in telling
-    words = [set(re.findall(r"[a-z]+", t.lower())) for t in texts]
-    share = lambda t: math.log(len(texts) * 5 / (5 * sum(t in w for w in words))) / math.log(len(texts) / 5)
-    assert share("the") < 0.5 < share("zorblax") == 1.0
+def brute_spans(texts, generalise_at=0.5, remove_at=0.8):
+    """All spans of each text, by counting everything in dictionaries."""
+    texts = [t or "" for t in texts]
+    copies, holds, terms, places = Counter(texts), defaultdict(set), {}, {}
+    for t in copies:
+        base = plain_spans(t)
+        masked = list(t)
+        for _, a, b in base:
+            masked[a:b] = [sanitise.MASK] * (b - a)
+        words = [(m[0].lower(), *m.span()) for m in regex.finditer(sanitise.MASKED_WORD, "".join(masked)) if sanitise.MASK not in m[0]]
+        terms[t], places[t] = {w for w, *_ in words}, (base, words)
+        for kind, a, b in base:
+            holds[kind, t[a:b].lower()].add(t)
+    term_df = Counter()
+    for t, n in copies.items():
+        for w in terms[t]:
+            term_df[w] += n
+    marks = defaultdict(dict)
+    for own in holds.values():
+        entity_df = sum(copies[t] for t in own)
+        information = math.log(len(texts) / entity_df)
+        for w in set().union(*[terms[t] for t in own]):
+            both = [t for t in own if w in terms[t]]
+            pmi = math.log(len(texts) * sum(copies[t] for t in both) / (entity_df * term_df[w]))
+            disclosure = pmi / information * len(both) ** 2 / (len(both) ** 2 + 1) if information > 0 else 0.0
+            if disclosure >= generalise_at - 1e-9:
+                for t in both:
+                    marks[t][w] = max(marks[t].get(w, ""), "remove" if disclosure >= remove_at - 1e-9 else "generalise")
+    order = sanitise.KINDS.index
+    return [sorted([*places[t][0], *((marks[t][w], a, b) for w, a, b in places[t][1] if w in marks[t])], key=lambda s: (s[1], order(s[0]), s[2])) for t in texts]
+
+
+def rewritten(text, spans):
+    """The sanitised text: labels for base spans, the first of those that overlap, and for terms."""
+    out, at, base_end = [], 0, 0
+    for kind, a, b in spans:
+        if kind in PLAIN and a < base_end:
+            at = base_end = max(base_end, b)
+            continue
+        label = {"remove": "", "generalise": "[NUMBER]" if regex.search(r"\p{N}", text[a:b]) else "[WORD]"}.get(kind, f"[{kind.upper()}]")
+        out += [text[at:a], label]
+        at, base_end = b, b if kind in PLAIN else base_end
+    return "".join([*out, text[at:]])
+
+
+@pytest.mark.parametrize("table", ["sf0.001", "sf0.01", "made"])
+def test_spans_and_texts_match_brute_force(spark, table):
+    if table == "made":
+        _, texts = revealing(spark)
+        texts += [None, "", "o'neil_x-1 a@b.cc, a@b.cc O'Neil_x-1 É1 4111 1111 1111 1111", "a@b.cc é1 1.2.3.4 +1 555 123 4567x", f"odd{sanitise.MASK}char", "+1 10.0.0.1.2 345 678", "x" * 300_000 + " big@y.org " + "y1 z2 " * 3000]
+        ids = [None if i % 50 == 3 else i % 70 for i in range(len(texts))]
+        docs = spark.createDataFrame([(i, t, "x", 1, t) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, base string, order int, clean_text string")
+    else:
+        docs = spark.read.parquet(f"/root/testdata/{table}/documents.parquet")
+        ids, texts = zip(*[(r.doc_id, r.text) for r in docs.collect()], strict=True)
+    expected = brute_spans(texts)
+    assert {"generalise"} <= {k for spans in expected for k, *_ in spans} - set(PLAIN)
+    found = Counter((r.doc_id, r.spans) for r in sanitise.digests(docs).collect())
+    assert found == Counter((i, joined(s)) for i, s in zip(ids, expected, strict=True))
+    clean = sanitise.sanitise(docs)
+    assert clean.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter((i, t if t is None else rewritten(t, s)) for i, t, s in zip(ids, texts, expected, strict=True))
 
 
 def test_sanitise_rewrites_texts(spark):
     docs, texts = revealing(spark)
-    out = {r.doc_id: r for r in sanitise.sanitise(docs).collect()}
+    out = {r.doc_id: r for r in sanitise.sanitise(docs, **STRICT).collect()}
     for i, text in enumerate(texts):
         if i < 5:
             assert "Zorblax" not in out[i].text and "jan@x.org" not in out[i].text and "[EMAIL] the the" in out[i].text
@@ -121,5 +183,5 @@ def test_sanitise_rewrites_texts(spark):
             assert out[i].text == text
         assert out[i].base == "x" and out[i].order == 1
     more = documents(spark, [None, "", "x 4111 1111 1111 1111 y", "call +1 555 123 4567, 10.0.0.1"])
-    assert [r.text for r in sanitise.sanitise(more).orderBy("doc_id").collect()] == [None, "", "x [CARD] y", "call [PHONE], [IP]"]
+    assert [r.text for r in sanitise.sanitise(more, **STRICT).orderBy("doc_id").collect()] == [None, "", "x [CARD] y", "call [PHONE], [IP]"]
     assert sanitise.sanitise(docs.limit(0)).count() == 0 and sanitise.digests(docs.limit(0)).count() == 0
