@@ -4,7 +4,7 @@ Only documents longer than a sequence are cut. The number of pieces of each leng
 to the driver, where best fit, longest first, runs over counts: a step places all pieces of a length that fit the
 sequences with the least room left, as one range of ranks against one range of sequences. The plan has rows for ranges
 only, a number that depends on the capacity and not on the documents. Each piece then takes its slot by its rank within
-its length, through a join of (task, length) offsets and a search in the plan.
+its length, through a merge join of (task, length) offsets and a search in the plan.
 
 With an order of documents, the same slots are dealt anew: a sequence stands at its share of the sequences that its first
 slot's length opened, sequences are numbered by that, and the pieces of a length, in the order of documents, take the
@@ -25,18 +25,21 @@ import os
 import zlib
 from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import ranks
 from .common import Stored, named, utf8
 
-UNITS = 1024
+#: Units of a whole order: so many at least, and one for so many rows.
+UNITS, UNIT_ROWS = 1024, 65_536
+PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
 CAPACITY, END_ID = 4096, 1
 CACHE_WORDS = 1_000_000  # about 200 MB
 
@@ -142,51 +145,56 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return out
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = False, order_column: str | None = None) -> DataFrame:
-    """Tokenised pieces (doc_id, piece, start, length, ids_crc32[, ids]) with their task and rank within task and length,
-    and with the document's ``place`` where a column of order is named."""
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = False, carry: Mapping[str, Column] | None = None) -> DataFrame:
+    """Tokenised pieces (doc_id, piece, start, length, ids_crc32[, ids]) with their task, their rank within task and length,
+    the document's number within the task, and the columns to carry along."""
     end = np.array([end_id], dtype="<u4").tobytes()
     width = 4 * capacity
+    read = docs.select(named(id_column).cast("long").alias("doc_id"), utf8(text_column).alias("body"), *[c.alias(n) for n, c in (carry or {}).items()])
+    more = read.schema.fields[2:]
+    names = [*PIECE, "task", "task_rank", "doc", *[f.name for f in more], *["ids"] * keep_ids]
+    types = [pa.int64(), pa.int32(), *[pa.int64()] * 6, *[to_arrow_type(f.dataType) for f in more], *[pa.binary()] * keep_ids]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokens(tokenizer)
-        task = TaskContext.get().partitionId()
+        task, number = TaskContext.get().partitionId(), 0
         seen: dict[int, int] = defaultdict(int)
         for batch in batches:
-            rows: list[list] = [[] for _ in range(9)]
-            for doc, body, order in zip(*batch.columns, strict=True):
-                ids, doc_id, place = tokens.ids(body.as_py()) + end, doc.as_py(), order.as_py()
+            rows: list[list] = [[] for _ in names]
+            for doc, body, *others in zip(*batch.columns, strict=True):
+                ids, doc_id, carried = tokens.ids(body.as_py()) + end, doc.as_py(), [c.as_py() for c in others]
                 for piece, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     length = len(part) // 4
-                    for column, value in zip(rows, (doc_id, piece, at // 4, length, zlib.crc32(part), task, seen[length], place, part if keep_ids else None), strict=True):
+                    values = (doc_id, piece, at // 4, length, zlib.crc32(part), task, seen[length], number, *carried)
+                    for column, value in zip(rows, (*values, part) if keep_ids else values, strict=True):
                         column.append(value)
                     seen[length] += 1
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "task_rank", "place", "ids"]
-            types = [pa.int64(), pa.int32(), *[pa.int64()] * 6, pa.binary()]
-            kept = 9 if keep_ids else 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows[:kept], types, strict=False)], names=names[:kept])
+                number += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=names)
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, task_rank long, place long" + ", ids binary" * keep_ids
-    place = named(order_column) if order_column else F.lit(None)
-    return docs.select(named(id_column).cast("long").alias("doc_id"), utf8(text_column).alias("body"), place.cast("long").alias("place")).mapInArrow(scan, schema)
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, task_rank long, doc long"
+    return read.mapInArrow(scan, schema + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in more) + ", ids binary" * keep_ids)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = False, order_column: str | None = None) -> DataFrame:
-    """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset), with keep_ids also the ids' bytes. Sequences
-    follow order_column, numbers 0, 1, ... of the documents, where it is given."""
-    cut = Stored(pieces(docs, tokenizer, capacity, end_id, id_column, text_column, keep_ids, order_column), "packing-pieces").df
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = False, carry: Mapping[str, Column] | None = None, order: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset), with keep_ids also the ids' bytes.
+
+    Sequences follow ``order``, where it is given: of rows (task, doc, and the columns to carry), one for each document, it
+    makes rows (task, doc, place) with places 0, 1, ... So an order is found without moving texts."""
+    cut = Stored(pieces(docs, tokenizer, capacity, end_id, id_column, text_column, keep_ids, carry), "packing-pieces").df
     by_task = Stored(cut.groupBy("length", "task").agg(F.count("*").alias("n")), "packing-counts").df
     totals = by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()  # at most capacity rows
     steps = np.array(plan({r["length"]: r["n"] for r in totals}, capacity), dtype=np.int64).reshape(-1, 5)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = by_task.select("length", "task", before.alias("before"))
-    out = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
-    kept = [*out, *["place"] * bool(order_column)]
-    ranked = cut.join(offsets, ["length", "task"]).select(*kept, (F.col("before") + F.col("task_rank")).alias("rank"))
+    out = [*PIECE, *["ids"] * keep_ids]
+    kept = [*out, *(["task", "doc", *(carry or {})] if order else [])]
+    # Offsets grow with the tasks: a merge join, whatever their size looks like as files.
+    ranked = cut.join(offsets.hint("merge"), ["length", "task"]).select(*kept, (F.col("before") + F.col("task_rank")).alias("rank"))
     keys = (steps[:, 0] << 44) + steps[:, 1]
-    order = np.argsort(keys)
-    keys, steps = keys[order], steps[order]
+    sorted_by = np.argsort(keys)
+    keys, steps = keys[sorted_by], steps[sorted_by]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,16 +203,18 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
             slots = [pa.array(step[:, 3] + rank - step[:, 1]), pa.array(step[:, 4])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *slots], names=[*kept, "sequence_id", "offset"])
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, " + "ids binary, " * keep_ids + "place long, " * bool(order_column) + "sequence_id long, offset long"
-    found = ranked.mapInArrow(place, schema)
-    if not order_column:
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields[:-1])
+    found = ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    if not order:
         return found
     opened = steps[steps[:, 4] == 0]  # a step for each length that opens sequences
-    return _in_order(Stored(found, "packing-found").df, opened[np.argsort(opened[:, 3])], out)
+    found = Stored(found, "packing-found").df
+    places = order(found.where("piece = 0").select("task", "doc", *(carry or {}))).select("task", "doc", "place")
+    return _in_order(found, Stored(places, "packing-places").df, opened[np.argsort(opened[:, 3])], out)
 
 
-def _in_order(found: DataFrame, opened: np.ndarray, out: list[str]) -> DataFrame:
-    """The pieces and slots of ``found``, dealt anew by the pieces' place. opened: the plan's steps at offset 0, by first
+def _in_order(found: DataFrame, places: DataFrame, opened: np.ndarray, out: list[str]) -> DataFrame:
+    """The pieces and slots of ``found``, dealt anew by the documents' places. opened: the plan's steps at offset 0, by first
     sequence."""
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,11 +223,12 @@ def _in_order(found: DataFrame, opened: np.ndarray, out: list[str]) -> DataFrame
             step = opened[np.searchsorted(opened[:, 3], sequence, side="right") - 1]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((sequence - step[:, 3] + 0.5) / step[:, 2])], names=["sequence_id", "share"])
 
+    sequences, documents = int(opened[:, 2].sum()), places.count()
+    units = lambda n: max(1, -(-n // max(UNITS, n // UNIT_ROWS)))
     begun = found.where("offset = 0").select("sequence_id").mapInArrow(shares, "sequence_id long, share double").withColumn("all", F.lit(0))
-    numbered = Stored(ranks.placed_in(begun, ["all"], (F.col("share") * UNITS).cast("int"), ["share", "sequence_id"], "number").select("sequence_id", "number"), "packing-numbers").df
-    slots = found.select("length", "sequence_id", "offset").join(numbered, "sequence_id").drop("sequence_id")
-    many = max(1, -(-int(opened[:, 2].sum()) // UNITS))
-    slots = ranks.placed_in(slots, ["length"], F.expr(f"number div {many}"), ["number", "offset"], "rank")
-    last = found.agg(F.max("place")).first()[0] or 0
-    taken = ranks.placed_in(found.select(*out, "place"), ["length"], F.expr(f"place div {last // UNITS + 1}"), ["place", "piece"], "rank")
-    return taken.join(slots, ["length", "rank"]).select(*out, F.col("number").alias("sequence_id"), "offset")
+    numbered = Stored(ranks.placed_in(begun, ["all"], (F.col("share") * max(UNITS, sequences // UNIT_ROWS)).cast("long"), ["share", "sequence_id"], "number").select("sequence_id", "number"), "packing-numbers").df
+    slots = found.select("length", "sequence_id", "offset").join(numbered.hint("merge"), "sequence_id").drop("sequence_id")
+    slots = ranks.placed_in(slots, ["length"], F.expr(f"number div {units(sequences)}"), ["number", "offset"], "rank")
+    placed = found.select(*out, "task", "doc").join(places.hint("merge"), ["task", "doc"])
+    taken = ranks.placed_in(placed, ["length"], F.expr(f"place div {units(documents)}"), ["place", "piece"], "rank")
+    return taken.join(slots.hint("merge"), ["length", "rank"]).select(*out, F.col("number").alias("sequence_id"), "offset")

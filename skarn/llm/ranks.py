@@ -1,4 +1,9 @@
-"""Ranks within groups of any size, with DataFrame functions only and no window over a whole group."""
+"""Ranks within groups of any size, with DataFrame functions only and no window over a whole group.
+
+The order of a group is that of a hash, a signed 64-bit integer. A unit is a range of hashes, so that units are in the
+order of the ranks, and a row's rank is the number of rows in earlier units plus its place in its own. However units
+are cut, ranks are the same.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def unit_of(spread: Column, units: int) -> Column:
-    """The unit 0 .. units - 1 of a hash. Rows of a large group fall into all units."""
-    return F.pmod(spread, F.lit(units)).cast("int")
+def units_for(rows: int, unit_rows: int = 65_536, least: int = 10, most: int = 40) -> int:
+    """The bits of a unit's number: so many units that one holds about ``unit_rows`` rows of the largest group."""
+    return min(most, max(least, (rows // unit_rows).bit_length()))
+
+
+def unit_of(spread: Column, bits: int) -> Column:
+    """The unit of a hash, -2 ** (bits - 1) and up, rising with the hash. Rows of a large group fall into all units."""
+    return F.shiftright(spread, 64 - bits)
 
 
 def before_units(counts: DataFrame, group: list[str], unit: str, n: str = "n") -> DataFrame:
@@ -27,5 +37,5 @@ def placed_in(df: DataFrame, group: list[str], unit: Column, order: list[str], n
     cut = df.withColumn("_unit", unit)
     counts = cut.groupBy(*group, "_unit").agg(F.count("*").alias("n"))
     before = before_units(counts, group, "_unit").select(*group, "_unit", F.col("before").alias("_before"))
-    ranked = cut.withColumn("_within", within_unit(group, "_unit", order)).join(before, [*group, "_unit"])
+    ranked = cut.withColumn("_within", within_unit(group, "_unit", order)).join(before.hint("merge"), [*group, "_unit"])
     return ranked.withColumn(name, F.col("_within") + F.col("_before")).drop("_unit", "_within", "_before")

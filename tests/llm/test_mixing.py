@@ -3,18 +3,32 @@ from collections import Counter
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from skarn.llm import mixing
+from skarn.plans import inspect
 
 
-@pytest.mark.parametrize("seed", range(25))
+def whole(blocks, shares):
+    """The stretches written out: (source, block, release, deadline) by slot."""
+    out = []
+    for x in mixing.stretches(blocks, shares):
+        assert x.slot == len(out)
+        for period in range(x.first, x.last):
+            begin = len(out)
+            out += [(s, period * shares[s] + q, begin + a, begin + b) for s, q, a, b in x.slots]
+            assert len(out) - begin == x.length
+    return out
+
+
+@pytest.mark.parametrize("seed", range(40))
 def test_every_source_stays_within_one_block_of_the_fluid_schedule(seed):
     rng = random.Random(seed)
     n = rng.randint(1, 9)
-    blocks, weights = [rng.choice([0, 1, rng.randint(1, 90)]) for _ in range(n)], [rng.choice([1, rng.randint(1, 20), 0.3, 13.7]) for _ in range(n)]
-    order = mixing.schedule(blocks, weights)
-    assert Counter(s for s, *_ in order) == Counter({s: b for s, b in enumerate(blocks) if b})
-    shares = [Fraction(w).limit_denominator(10**6) for w in weights]
+    blocks = [rng.choice([1, rng.randint(1, 90)]) for _ in range(n)]
+    shares = mixing.numbers([rng.choice([1, rng.randint(1, 20), 0.3, 13.7]) for _ in range(n)])
+    order = whole(blocks, shares)
+    assert Counter(s for s, *_ in order) == Counter(dict(enumerate(blocks)))
     left, done, fluid = [Fraction(b) for b in blocks], [0] * n, [Fraction(0)] * n
     for slot, (source, j, release, deadline) in enumerate(order):
         assert j == done[source] and release <= slot < deadline
@@ -31,30 +45,76 @@ def test_every_source_stays_within_one_block_of_the_fluid_schedule(seed):
         assert all(abs(d - f) < 1 for d, f in zip(done, fluid))
 
 
+def test_weights_keep_their_ratios():
+    assert mixing.numbers([0.2, 0.1, 0.1, 0.08, 0.08, 0.04, 0.4]) == [10, 5, 5, 4, 4, 2, 20]
+    assert mixing.numbers([3]) == [1] and mixing.numbers([1, 1.5]) == [2, 3]
+    odd = mixing.numbers([1 / 3, 0.123456789, 1e-9])
+    assert sum(odd) <= mixing.MAX_PERIOD + 1 and abs(odd[0] / odd[1] - 1 / 3 / 0.123456789) < 0.01 and odd[2] == 1
+    for bad in ([], [1, 0], [1, -1], [float("inf")], [float("nan")]):
+        with pytest.raises(ValueError):
+            mixing.numbers(bad)
+
+
+def test_the_plan_does_not_grow_with_the_table():
+    shares = mixing.numbers([0.2, 0.1, 0.7])
+    small, large = (mixing.stretches([n, 3 * n + 7, 2 * n + 1], shares) for n in (1000, 10**12))
+    assert sum(len(x.slots) for x in large) <= 7 * sum(shares) and len(large) <= 7
+    assert sum(x.length * (x.last - x.first) for x in large) == 6 * 10**12 + 8
+    assert len(small) <= 7
+
+
 def rows(n):
     rng = random.Random(n)
     return [(i, f"text {i}", rng.choice(["a", "a", "a", "b", "c", None, "d"]), i * 2) for i in range(n)]
 
 
-@pytest.mark.parametrize("max_blocks", [16384, 50])
-def test_positions(spark, max_blocks):
-    data = [*rows(900), (None, None, "a", 0), (3, "text 3", "b", 1), (3, "text 3", "b", 1)]
+@pytest.mark.parametrize(("n", "block_rows"), [(900, 1), (900, 7), (9000, 7), (9000, 16)])
+def test_positions(spark, n, block_rows):
+    data = [*rows(n), (None, None, "a", 0), (3, "text 3", "b", 1), (3, "text 3", "b", 1)]
     docs = spark.createDataFrame(data, "doc_id long, text string, source string, mix_slot long").repartition(5)
-    out = mixing.positions(docs, {"a": 0.2, "b": 0.5, "absent": 1.0}, 0.3, max_blocks=max_blocks).orderBy("mix_position").collect()
+    weights = {"a": 0.2, "b": 0.5, "absent": 1.0}
+    out = mixing.positions(docs, weights, 0.3, block_rows=block_rows).orderBy("mix_position").collect()
     assert [r.mix_position for r in out] == list(range(len(data)))
     assert Counter((r.doc_id, r.text, r.source, r.mix_slot) for r in out) == Counter(data)
-    assert [r._mix_slot for r in out] == sorted(r._mix_slot for r in out)
     groups = Counter(r.mix_group for r in out)
-    size = max(1, -(-len(data) // max_blocks))
-    plan = mixing.schedule([-(-groups[g] // size) for g in (0, 1, 3)], [0.2, 0.5, 0.3])
-    assert [(r.mix_group, r.mix_block, r.mix_release, r.mix_deadline) for r in out] == [((0, 1, 3)[s], j, a, b) for s, j, a, b in plan for _ in range(min(size, groups[(0, 1, 3)[s]] - j * size))]
+    assert groups[1] == sum(s == "b" for _, _, s, _ in data) and groups[3] == sum(s not in ("a", "b") for _, _, s, _ in data)
+    share = mixing.numbers([0.2, 0.5, 1.0, 0.3])
+    plan = whole([-(-groups[g] // block_rows) for g in (0, 1, 3)], [share[g] for g in (0, 1, 3)])
+    expected = [((0, 1, 3)[s], j, k, a, b) for k, (s, j, a, b) in enumerate(plan) for _ in range(min(block_rows, groups[(0, 1, 3)[s]] - j * block_rows))]
+    assert [(r.mix_group, r.mix_block, r._mix_slot, r.mix_release, r.mix_deadline) for r in out] == expected
+    # Rows are within one block of their source's part of all rows, as long as all sources last.
+    done, fluid = Counter(), {0: 0.2, 1: 0.5, 3: 0.3}
+    lasting = min(groups[g] / fluid[g] for g in fluid)
+    for at, r in enumerate(out[: int(lasting)]):
+        done[r.mix_group] += 1
+        assert all(abs(done[g] - (at + 1) * fluid[g]) < 2 * block_rows for g in fluid)
+
+
+def test_positions_do_not_depend_on_partitions(spark):
+    docs = spark.createDataFrame(rows(500), "doc_id long, text string, source string, extra long")
+    of = lambda df, **more: {r.doc_id: r.mix_position for r in mixing.positions(df, {"a": 1, "b": 2}, 1, **more).collect()}
+    assert of(docs.repartition(2)) == of(docs.repartition(9)) == of(docs.withColumn("h", mixing.order_hash()).drop("text"), key=F.col("h"))
 
 
 def test_mix_keeps_rows_and_columns(spark):
-    docs = spark.createDataFrame(rows(200), "doc_id long, text string, source string, extra long")
-    out = mixing.mix(docs, {"a": 1, "b": 1}, 1)
+    docs = spark.createDataFrame(rows(2000), "doc_id long, text string, source string, mix_chunk long")
+    out = mixing.mix(docs, {"a": 1, "b": 1}, 1, chunk_rows=300)
     assert out.columns == docs.columns
-    assert Counter(map(tuple, out.collect())) == Counter(rows(200))
-    assert mixing.mix(docs.limit(0), {"a": 1}, 1).count() == 0
+    parts = [[tuple(r) for r in p] for p in out.rdd.glom().collect()]
+    assert Counter(r for p in parts for r in p) == Counter(rows(2000)) and len(parts) == 7
+    place = {r.doc_id: r.mix_position for r in mixing.positions(docs, {"a": 1, "b": 1}, 1).collect()}
+    for k, part in enumerate(parts):
+        found = [place[i] for i, *_ in part]
+        assert found == sorted(found) and all(k * 286 <= p < (k + 1) * 286 + 60 for p in found)
+    one = mixing.mix(docs, {"a": 1}, 1, chunk_rows=10**6)
+    assert [r.doc_id for r in one.collect()] == [i for i, _ in sorted({r.doc_id: r.mix_position for r in mixing.positions(docs, {"a": 1}, 1).collect()}.items(), key=lambda x: x[1])]
+    empty = docs.limit(0)
+    assert mixing.mix(empty, {"a": 1}, 1).count() == 0 and mixing.positions(empty, {"a": 1}, 1).count() == 0
+    assert mixing.positions(empty, {"a": 1}, 1).dtypes == mixing.positions(docs, {"a": 1}, 1).dtypes
     with pytest.raises(ValueError):
         mixing.mix(docs, {"a": 0}, 1)
+
+
+def test_rows_move_once(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert inspect.shuffles(mixing.mix(docs, {"src0": 1}, 1)) == 1
