@@ -14,8 +14,8 @@ differ are escaped; then each whole conversation is reparsed, ``identical`` tell
 taken from the parsed turns: spans of the assistant's texts in the rendered text.
 
 Defined cases: a null text counts as empty and a null role as the role with an empty name; turns are in the order of
-turn (null first), then role and text; repeated rows are turns of their own; rows with a null id are one conversation;
-an empty table gives an empty result; other columns are ignored.
+turn (null first), then role and text; repeated rows are turns of their own; each row with a null id, which belongs to no
+other, is a conversation of one turn; a conversation must fit a task; texts may be of any length; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -94,7 +94,9 @@ def format_chats(turns: DataFrame, id_column: str = "conv_id", turn_column: str
     plain = render_turn(F.col("role"), F.col("text"))
     tried = source.withColumn("plain", plain)
     rendered = tried.withColumn("rendered", F.when(round_trips(F.col("role"), F.col("text"), F.col("plain")), F.col("plain")).otherwise(render_turn(F.col("role"), escape(F.col("text")))))
-    grouped = rendered.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "rendered"))).alias("source"))
+    one = F.struct("turn", "role", "text", "rendered")
+    known = rendered.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("source"))
+    grouped = known.unionByName(rendered.where("conv_id IS NULL").select("conv_id", F.array(one).alias("source")))
     whole = grouped.select("conv_id", "source", F.array_join(F.transform("source", lambda t: t["rendered"]), "").alias("formatted"))
     read = whole.withColumn("parsed", parse(F.col("formatted")))
     same = F.transform("source", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))

@@ -1,20 +1,23 @@
 """Quality rules as a short-circuit cascade, ordered by rejections per cost.
 
 Every document gets the base measures. Documents that pass the base rules meet the other rules one by one and stop at
-the first that rejects them. The order is planned on a sample: each rule is timed on it and its rejections are counted,
-and rules go by rejections per second, highest first; a rule that rejects none of the sample goes by its cost, cheapest
-first. The order changes what is computed, never the verdict, so a plan from a poor sample costs time only.
+the first that rejects them. The order is planned on a sample of documents that pass the base rules, greedily: the next
+rule is that with the most rejections per cost among the sampled documents that no earlier rule rejects, then the cheaper
+one, then by name. Costs are those that a rule adds: a measure that the base rules or an earlier rule of the cascade
+makes anyway costs nothing more. They are counted in bytes that are gone over, not timed, so that a plan, and with it which
+rule is named as the one that rejects, is the same in every run. The order changes what is computed, never the verdict.
 
-The sample has at most ``sample_rows`` documents of at most ``sample_bytes`` each, and is the only thing that reaches the
-driver.
+The sample has at most ``sample_rows`` documents of at most ``sample_bytes`` each, those with the least hashes of id and
+text among about twice as many below a bound, and is the only thing that reaches the driver.
 
 Defined cases: a null text has no words and fails the base rules, as does an empty one; null and repeated ids and rows are
-carried; an empty table gives an empty result; other columns are ignored.
+carried; texts may be of any length; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import time
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
@@ -27,7 +30,9 @@ from pyspark.sql import functions as F
 from .common import named, utf8
 
 SYMBOLS = "#*$%&|<>"
-SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_SHARE, SAMPLE_SEED = 512, 1 << 16, 0.1, 7
+SAMPLE_ROWS, SAMPLE_BYTES = 512, 1 << 16
+#: A word with a letter: of ASCII, or any character beyond it.
+LETTERED = re.compile(rb"[^\x09-\x0D\x20]*[A-Za-z\x80-\xff][^\x09-\x0D\x20]*")
 
 
 class Document:
@@ -92,10 +97,44 @@ class Document:
         return self.n_words < 50 or 100 * self.n_repeat_words > 50 * self.n_words
 
 
+    @cached_property
+    def n_capitals(self) -> int:
+        """Capitals: A-Z and those of Latin-1."""
+        p = self.points
+        return int(np.count_nonzero((p >= 0x41) & (p <= 0x5A) | (p >= 0xC0) & (p <= 0xDE) & (p != 0xD7)))
+
+    @cached_property
+    def n_digits(self) -> int:
+        return sum(self.body.count(bytes([c])) for c in b"0123456789")
+
+    @cached_property
+    def n_exclamations(self) -> int:
+        return self.body.count(b"!")
+
+    @cached_property
+    def n_lettered(self) -> int:
+        """Words with a letter."""
+        return sum(1 for _ in LETTERED.finditer(self.body))
+
+    @cached_property
+    def n_prevailing(self) -> int:
+        """How often the most frequent word occurs."""
+        return max(Counter(self.words).values(), default=0)
+
+
+#: Measures of every document.
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: How often the other measures go over a text.
+PASSES = {"n_capitals": 8, "n_digits": 10, "n_exclamations": 1, "n_lettered": 3, "n_prevailing": 2}
+
+
 @dataclass(frozen=True)
 class Rule:
+    """measures: those beyond BASE that ``rejects`` asks for."""
+
     name: str
     rejects: Callable[[Document], bool]
+    measures: tuple[str, ...] = ()
 
 
 def many_symbols(d: Document) -> bool:
@@ -103,18 +142,16 @@ def many_symbols(d: Document) -> bool:
 
 
 def many_capitals(d: Document) -> bool:
-    """Capitals (A-Z and those of Latin-1) are over 40 % of the characters in words."""
-    p = d.points
-    capital = (p >= 0x41) & (p <= 0x5A) | (p >= 0xC0) & (p <= 0xDE) & (p != 0xD7)
-    return 10 * int(np.count_nonzero(capital)) > 4 * d.word_chars
+    """Capitals are over 40 % of the characters in words."""
+    return 10 * d.n_capitals > 4 * d.word_chars
 
 
 def many_exclamations(d: Document) -> bool:
-    return 10 * d.body.count(b"!") > 3 * d.n_words
+    return 10 * d.n_exclamations > 3 * d.n_words
 
 
 def many_digits(d: Document) -> bool:
-    return 10 * sum(d.body.count(bytes([c])) for c in b"0123456789") > 3 * d.word_chars
+    return 10 * d.n_digits > 3 * d.word_chars
 
 
 def many_equal_lines(d: Document) -> bool:
@@ -126,35 +163,63 @@ def odd_word_lengths(d: Document) -> bool:
     return not 2 * d.n_words <= d.word_chars <= 15 * d.n_words
 
 
-RULES = tuple(Rule(f.__name__, f) for f in (many_symbols, many_capitals, many_exclamations, many_digits, many_equal_lines, odd_word_lengths))
+def few_lettered_words(d: Document) -> bool:
+    """Less than 80 % of the words have a letter."""
+    return 10 * d.n_lettered < 8 * d.n_words
+
+
+def one_word_prevails(d: Document) -> bool:
+    """One word is over a fourth of all words."""
+    return 4 * d.n_prevailing > d.n_words
+
+
+RULES = (
+    Rule("many_symbols", many_symbols),
+    Rule("many_capitals", many_capitals, ("n_capitals",)),
+    Rule("many_exclamations", many_exclamations, ("n_exclamations",)),
+    Rule("many_digits", many_digits, ("n_digits",)),
+    Rule("many_equal_lines", many_equal_lines),
+    Rule("odd_word_lengths", odd_word_lengths),
+    Rule("few_lettered_words", few_lettered_words, ("n_lettered",)),
+    Rule("one_word_prevails", one_word_prevails, ("n_prevailing",)),
+)
+
+
+def order_rules(rules: Sequence[Rule], sample: Sequence[bytes]) -> list[Rule]:
+    """The rules by rejections per added cost, each among the documents that the rules before it let pass."""
+    left, made, rest, out = [Document(body) for body in sample], set(), list(rules), []
+    said = {(rule.name, k): rule.rejects(d) for rule in rules for k, d in enumerate(left)}
+    open_ = range(len(left))
+    while rest:
 
+        def rank(rule: Rule) -> tuple:
+            passes = sum(PASSES.get(m, 1) for m in set(rule.measures) - made)
+            cost = sum(1 + passes * len(left[k].body) for k in open_)
+            return -sum(said[rule.name, k] for k in open_) / max(cost, 1), cost, passes, rule.name
 
-def order_rules(rules: Sequence[Rule], sample: Sequence[bytes], clock: Callable[[], float] = time.perf_counter) -> list[Rule]:
-    """The rules by rejections per cost on the sample, each timed on documents that have no measure made yet."""
-    if not sample:
-        return list(rules)
-    found = []
-    for rule in rules:
-        fresh = [Document(body) for body in sample]
-        begin = clock()
-        rejected = sum(map(rule.rejects, fresh))
-        cost = max(clock() - begin, 1e-9)
-        found.append((-rejected / cost, cost, rule.name, rule))
-    return [f[-1] for f in sorted(found, key=lambda f: f[:3])]
+        best = min(rest, key=rank)
+        rest.remove(best)
+        out.append(best)
+        made |= set(best.measures)
+        open_ = [k for k in open_ if not said[best.name, k]]
+    return out
 
 
-def sample_of(docs: DataFrame, text_column: str = "text", rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> list[bytes]:
+def sample_of(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> list[bytes]:
     """Texts that pass the base rules, of a bounded sample."""
-    short = docs.select(utf8(text_column).alias("body")).where(F.octet_length("body") <= size)
-    taken = [bytes(r["body"]) for r in short.sample(SAMPLE_SHARE, seed=SAMPLE_SEED).limit(rows).collect()]
+    order = F.xxhash64(named(id_column), named(text_column))
+    share = 2 * rows / max(1, docs.count())
+    some = docs.select(utf8(text_column).alias("body"), order.alias("h")).where(F.octet_length("body") <= size)
+    some = some.where(F.pmod("h", F.lit(1 << 40)) < int(share * (1 << 40))) if share < 1 else some
+    taken = [bytes(r["body"]) for r in some.orderBy("h", "body").limit(rows).collect()]
     return [body for body in taken if not Document(body).base_failed]
 
 
 def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, id_column: str = "doc_id", text_column: str = "text", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """Rows (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rejected_by) for
     each of docs. rejected_by: "base", or the first rule in the planned order that rejects; null if kept."""
-    order = order_rules(rules, sample_of(docs, text_column, sample_rows, sample_bytes))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    order = order_rules(rules, sample_of(docs, id_column, text_column, sample_rows, sample_bytes))
+    names = list(BASE)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,17 +252,21 @@ WITH d AS (
   SELECT r, count(*) AS n_repeat_words FROM (
     SELECT r, twice OR coalesce(lag(twice, 1) OVER o, false) OR coalesce(lag(twice, 2) OVER o, false) AS covered FROM t WINDOW o AS (PARTITION BY r ORDER BY i)
   ) WHERE covered GROUP BY r
+), v AS (
+  SELECT r, max(n) AS n_prevailing FROM (SELECT r, word, count(*) AS n FROM w GROUP BY r, word) GROUP BY r
 ), m AS (
   SELECT doc_id, text, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
-  FROM d LEFT JOIN p USING (r)
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    coalesce(n_prevailing, 0) AS n_prevailing, len(list_filter(words, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_lettered
+  FROM d LEFT JOIN p USING (r) LEFT JOIN v USING (r)
 ), j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 10 * n_symbols > n_words
     OR 10 * (length(text) - length(regexp_replace(text, '[A-ZÀ-ÖØ-Þ]', '', 'g'))) > 4 * word_chars
     OR 10 * (length(text) - length(replace(text, '!', ''))) > 3 * n_words
     OR 10 * (length(text) - length(regexp_replace(text, '[0-9]', '', 'g'))) > 3 * word_chars
-    OR 10 * n_dup_lines > 4 * n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
+    OR 10 * n_dup_lines > 4 * n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+    OR 10 * n_lettered < 8 * n_words OR 4 * n_prevailing > n_words) AS kept
 FROM j
 """

@@ -8,8 +8,8 @@ with high probability.
 
 Only different fingerprints enter the search (copies are one row). A bucket of a mask and a value is searched in
 memory up to ``bucket_rows`` fingerprints, for a spanning forest instead of all pairs; a larger one is covered again,
-by the same construction over the positions that its mask left free, until buckets are small or no more than three
-positions are free (then all of its fingerprints are linked). No pair is lost at any size and none is listed twice
+by the same construction over the positions that its mask left free, until buckets are small or no more than seven
+positions are free (then there are at most 128 fingerprints, and fewer than eight positions would leave masks empty). No pair is lost at any size and none is listed twice
 over. Components come from contraction rounds under a fresh random order each, so that long chains halve.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and is linked like any other;
@@ -28,9 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, named, planned, utf8
+from .common import Stored, free_name, named, planned, utf8
 
 BITS, RADIUS, SEED = 64, 3, 42
+#: Free positions up to which a bucket is searched in memory, whatever its size.
+FEW_FREE = 7
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -126,21 +128,16 @@ def links(reps: DataFrame, bucket_rows: int = 4096) -> tuple[DataFrame, list[Sto
         stored.append(sizes)
         within = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS
         parts.append(sizes.df.where("n = 2").where(within).select("a", "b"))
-        open_bits = F.bit_count(F.bitwise_not("mask"))
-        whole = (F.col("n") > bucket_rows) & (open_bits <= RADIUS)
-        middle = sizes.df.where((F.col("n") > 2) & (F.col("n") <= bucket_rows)).select("mask", "bucket")
+        dense = (F.col("n") > bucket_rows) & (F.bit_count(F.bitwise_not("mask")) > FEW_FREE)
+        middle = sizes.df.where((F.col("n") > 2) & ~dense).select("mask", "bucket")
         gathered = keyed.join(middle, ["mask", "bucket"]).groupBy("mask", "bucket").agg(F.collect_list("fp").alias("members"))
         parts.append(gathered.select("members").mapInArrow(_forests, "a long, b long"))
-        large = [r["mask"] for r in sizes.df.where(F.col("n") > bucket_rows).select("mask").distinct().collect()]  # at most 15 ^ level masks
+        large = [r["mask"] for r in sizes.df.where(dense).select("mask").distinct().collect()]  # at most 15 ^ level masks
         if not large:
             break
-        all_near = sizes.df.where(whole).select("mask", "bucket", "a")
-        parts.append(keyed.join(all_near, ["mask", "bucket"]).where("fp <> a").select("a", F.col("fp").alias("b")))
-        finer = [[m, _signed((m | s) % (1 << BITS))] for m in large if len(_free(m)) > RADIUS for s in masks(_free(m))]
-        if not finer:
-            break
+        finer = [[m, _signed((m | s) % (1 << BITS))] for m in large for s in masks(_free(m))]
         down = planned(spark, finer, "mask long, finer long")
-        split = sizes.df.where((F.col("n") > bucket_rows) & ~whole).select("mask", "bucket")
+        split = sizes.df.where(dense).select("mask", "bucket")
         keyed = keyed.join(split, ["mask", "bucket"]).join(F.broadcast(down), "mask").select("fp", F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("bucket")).distinct()
         again = Stored(keyed, "simhash-split")
         stored.append(again)
@@ -205,9 +202,11 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     found = classes(docs, id_column, text_column, shingle, bucket_rows)
     # By root: where an id is repeated with different texts, components may share their smallest id.
     best = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("kept"))
-    keep = Stored(best.select(F.col("kept.doc_id").alias("_kept_id"), F.col("kept.text_hash").alias("_kept_hash")), "simhash-kept").df
-    own = F.xxhash64(F.coalesce(named(text_column), F.lit("")))
-    hashed = docs.withColumn("_row_hash", own)
-    both = named(id_column).cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_row_hash") == F.col("_kept_hash"))
-    once = hashed.join(keep, both, "left_semi").dropDuplicates([id_column, "_row_hash"])
+    here, given, own = (free_name(docs, n) for n in ("kept_id", "kept_null", "kept_hash"))
+    parts = lambda key: (F.coalesce(key, F.lit(0)), key.isNull())
+    keep = Stored(best.select(*[c.alias(n) for c, n in zip(parts(F.col("kept.doc_id")), (here, given), strict=True)], F.col("kept.text_hash").alias(own)), "simhash-kept").df
+    key, null = parts(named(id_column).cast("long"))
+    hashed = docs.withColumns({here: key, given: null, own: F.xxhash64(F.coalesce(named(text_column), F.lit("")))})
+    # Plain equality on the same columns: where the join moves rows, they are dealt for the last step too.
+    once = hashed.join(keep, [here, given, own], "left_semi").dropDuplicates([here, given, own])
     return once.select(*[named(c) for c in docs.columns])

@@ -39,7 +39,8 @@ def test_only_conflicting_text_is_escaped(spark):
 def test_defined_cases(spark):
     rows = [(None, 0, "user", "x"), (None, None, "assistant", "first"), (3, 5, "user", "same"), (3, 5, "user", "same"), (3, 4, "assistant", "z" * 200_000 + "</s>" * 3000)]
     out = formatted(spark, rows)
-    assert [t.text for t in out[None].turns] == ["first", "x"]
+    alone = chat.format_chats(spark.createDataFrame([*rows, rows[0]], "conv_id long, turn long, role string, text string")).where("conv_id IS NULL").collect()
+    assert sorted([t.text for t in r.turns] for r in alone) == [["first"], ["x"], ["x"]] and all(r.identical for r in alone)
     assert [t.role for t in out[3].turns] == ["assistant", "user", "user"] and out[3].identical
     assert out[3].loss == ["z" * 200_000 + "</s>" * 3000]
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")

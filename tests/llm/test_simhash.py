@@ -108,6 +108,22 @@ def test_components_with_one_smallest_id_all_keep_a_row(spark):
     assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("5", x), ("5", y), ("5", "one more"), ("None", "first"), ("None", "second")])
 
 
+def test_few_free_positions_end(spark):
+    for bits in (3, 4, 5, 7, 9):
+        reps = spark.createDataFrame([(v,) for v in range(1 << bits)], "fp long")
+        edges, _ = simhash.links(reps, bucket_rows=2)
+        roots, _ = simhash.components(edges)
+        assert len({r.root for r in roots.collect()}) == 1 and roots.count() == 1 << bits
+    far = spark.createDataFrame([(v << 8 | v << 16 | v << 24 | v << 32,) for v in range(1 << 4)], "fp long")
+    assert simhash.components(simhash.links(far, bucket_rows=2)[0])[0].count() == 0
+
+
+def test_columns_with_names_of_ours_come_back(spark):
+    rows = [(1, "one two three four", 99, 98, 97, 96), (2, "one two three four", 5, 6, 7, 8), (None, None, 1, 2, 3, 4), (None, None, 1, 2, 3, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row_hash long, kept_id long, kept_hash long, kept_null long")
+    assert sorted(map(tuple, simhash.deduplicate(docs).collect()), key=str) == [rows[0], rows[2]]
+
+
 def test_forest_spans():
     values = np.array([0, 1, 3, 7, 1 << 40, (1 << 40) + 1, 0xFF << 50], dtype=np.int64)
     a, b = simhash.forest(values)

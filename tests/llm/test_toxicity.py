@@ -25,11 +25,42 @@ def test_held_out_accuracy():
     assert p.sum(axis=1)[truth].mean() > 1.2 > 0.1 > p.sum(axis=1)[~truth].mean()
 
 
-def test_gradient_and_grades():
+def test_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(5)
+    n, weights = 60, 9
+    owner = np.repeat(np.arange(n), 3)
+    column, y = rng.integers(0, weights, 3 * n), rng.integers(0, 4, n)
+    for _ in range(5):
+        p = rng.normal(0, 0.7, weights + 3)
+        _, slope = toxicity.loss_and_slope(p, weights, owner, column, y)
+        steps = 1e-6 * np.eye(len(p))
+        numeric = [(toxicity.loss_and_slope(p + h, weights, owner, column, y)[0] - toxicity.loss_and_slope(p - h, weights, owner, column, y)[0]) / 2e-6 for h in steps]
+        assert np.allclose(slope, numeric, atol=1e-6)
+
+
+def test_fit_counts_as_the_driver_would(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    known = {r.doc_id: r.toxic for r in labels.collect()}
+    rows = sorted((r.doc_id, np.array(sorted(toxicity.features(r.text.encode())), dtype=np.int32)) for r in docs.collect() if r.doc_id in known)
+    plain = toxicity.fit_model([f for _, f in rows], np.array([known[i] > 0 for i, _ in rows]))
+    model = toxicity.fit(docs, labels)
+    assert np.allclose(plain.weights, model.weights, atol=1e-5) and np.allclose(plain.thresholds, model.thresholds, atol=1e-6)
+
+
+def test_only_the_most_telling_features_are_kept(monkeypatch):
+    monkeypatch.setattr(toxicity, "TELLING", 3)
+    bad, good = np.zeros(toxicity.DIMENSIONS, dtype=np.int64), np.full(toxicity.DIMENSIONS, 50)
+    bad[[5, 6, 7, 8]] = [900, 800, 700, 600]
+    assert list(np.flatnonzero(toxicity.telling(bad, good, 0.1))) == [5, 6, 7]
+
+
+def test_grades_and_fit():
     rng = np.random.default_rng(1)
     rows = [np.unique(rng.integers(0, 50, 12)).astype(np.int32) for _ in range(300)]
     toxic = np.array([3 in r or 7 in r for r in rows])
-    y, _ = toxicity.grades(rows, toxic)
+    bad, good = toxicity.tally(rows, toxic)
+    y = toxicity.grades(rows, toxic, bad, good, toxicity.telling(bad, good, float(toxic.mean())))
     assert set(y[~toxic]) == {0} and set(y[toxic]) <= {1, 2, 3} and len(set(y[toxic])) > 1
     model = toxicity.fit_model(rows, toxic)
     strength = np.array([model.weights[r].sum() for r in rows])
