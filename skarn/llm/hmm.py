@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import Stored, named, utf8
 
 STATES, OWN, RARE, WINDOW = 8, 24.0, 2.0, 256
-MAX_PASSES, GAIN = 6, 0.003
+MAX_PASSES, GAIN = 6, 0.01
 CHUNK_BYTES, CELLS = 8 << 20, 4 << 20
 INIT_TOKENS, INIT_PASSES, SEED = 200_000, 12, 0
 FIXED = 1 << 16
