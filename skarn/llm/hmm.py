@@ -41,6 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ranks
 from .common import Stored, named, utf8
 
 STATES, OWN, RARE, WINDOW = 8, 24.0, 2.0, 256
@@ -145,7 +146,8 @@ def sequences(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     rare = max(1, math.ceil(RARE * math.sqrt(distinct_tokens)))
     rare_class = F.pmod(F.crc32(F.substring("tokens", -2, 2)), F.lit(rare)).cast("int") + own
     first = known.where(F.col("n") >= least)
-    frequent = Stored(first.select("tokens", "n", (F.row_number().over(_frequency()) - 1).alias("own")), "hmm-frequent")  # own rows
+    numbered = first.select("tokens", "n", F.lit(0).alias("all"), F.xxhash64("tokens").alias("h"))
+    frequent = Stored(ranks.placed_in(numbered, ["all"], ranks.unit_of(F.col("h"), 10), ["h", "tokens"], "own").select("tokens", "n", F.col("own").cast("int").alias("own")), "hmm-frequent")  # own rows
     classed = Stored(count.df.join(F.broadcast(frequent.df.drop("n")), "tokens", "left").select("tokens", "n", F.coalesce("own", rare_class).alias("class")), "hmm-classes")
     by_class = np.zeros(own + rare, dtype=np.int64)
     distinct = np.zeros(own + rare, dtype=np.int64)
@@ -179,12 +181,6 @@ def sequences(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     return stored.df, counts
 
 
-def _frequency():
-    from pyspark.sql import Window
-
-    return Window.orderBy(F.desc("n"), "tokens")
-
-
 @dataclass(frozen=True)
 class Model:
     """Distributions of the first state of a text and of a window inside one, of the next state, and of classes by state

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from skarn.llm import hmm
 
@@ -114,9 +115,9 @@ def test_scores_match_brute_force(spark):
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     count = Counter("" if t is None else t for i, text in rows if not held(i) for t in tokens(text))
     v = len(count)
-    order = sorted(count, key=lambda t: (-count[t], t.encode()))
+    order = sorted(count, key=lambda t: (np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64), t.encode()))
     least = next((n for n in sorted(set(count.values())) if sum(c >= n for c in count.values()) <= math.ceil(math.sqrt(v))), 1 << 62)
-    own = {t: k for k, t in enumerate(order) if count[t] >= least}
+    own = {t: k for k, t in enumerate(t for t in order if count[t] >= least)}
     rare = math.ceil(hmm.RARE * math.sqrt(v))
     assert (counts.tokens, counts.distinct, counts.own, len(counts.by_class)) == (sum(count.values()), v, len(own), len(own) + rare)
     klass = lambda t: own.get(t, len(own) + zlib.crc32(t.encode()[-2:]) % rare)
