@@ -24,7 +24,7 @@ def op1_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return webp.read(webp.store(table(spark, sf_dir, "documents")), pixels=False)
+    return webp.features(webp.read(webp.store(table(spark, sf_dir, "documents"))))
 
 
 def op3_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:

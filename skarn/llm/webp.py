@@ -1,14 +1,19 @@
-"""Lossless WebP: a decoder of whole images, a plain encoder for byte payloads, and the operators on columns of both.
+"""Lossless WebP: a decoder of whole images, an encoder for byte payloads, and the operators on columns of both.
 
 The decoder reads the RIFF container and the VP8L stream: prefix codes (simple and with coded lengths), groups of codes
 chosen by an entropy image, back-references with the two-dimensional distance codes, the colour cache, and the
 inverses of the predictor, cross-colour, subtract-green and palette transforms. Pixels come out as an array of 32-bit
 ARGB values. Images whose pixels vary in green alone (as the encoder below makes) are decoded without a step for each
-pixel's channels: code lengths are looked up for all bit positions at once, and one chain of additions finds the
-positions where codes begin.
+pixel: code lengths are looked up for all bit positions at once, and one chain of additions finds the positions where
+codes begin, from one back-reference to the next.
 
-A payload is stored in frames of at most FRAME bytes, each its own WebP file, 64 samples wide, the samples in green.
-Files carry their sizes, so frames are simply joined. That bounds memory for texts of any length.
+The encoder writes samples in green. Passages of MIN_MATCH bytes or more that occurred before, from the begin of a word on,
+become back-references; a frame of at most 16 different samples gets a palette, which packs two to eight samples into a
+pixel. The colour cache, predictor, cross-colour and subtract-green are left to files of others: with one channel in use
+a cached colour costs as much as the sample, and neighbouring letters predict nothing.
+
+A payload is stored in frames of at most FRAME bytes, each its own WebP file, 64 samples wide. Files carry their sizes, so
+frames are simply joined. That bounds memory for texts of any length.
 
 Defined cases: a null text counts as empty, and an empty text is 64 zero bytes; null or repeated ids are carried as
 they are; an empty table gives an empty result; other columns are ignored; broken media raise ValueError.
@@ -29,9 +34,10 @@ from pyspark.sql import DataFrame
 from .common import named, utf8
 
 FRAME, WIDTH, BLOCK = 1 << 20, 64, 64
+MIN_MATCH = 16
 
 # Fixed values of the format.
-SIGNATURE, LITERALS, LENGTHS, DISTANCES = 0x2F, 256, 24, 40
+SIGNATURE, LITERALS, LENGTHS, DISTANCES, LONGEST_COPY = 0x2F, 256, 24, 40, 4096
 CODE_LENGTH_ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 BLACK, CACHE_FACTOR = 0xFF000000, 0x1E35A7BD
@@ -190,41 +196,89 @@ def read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.nd
     codes = [[read_code(bits, n) for n in sizes] for _ in range(groups)]
     green, red, blue, alpha, _ = codes[0]
     total = width * height
-    if groups == 1 and not cache_bits and None not in (red.only, blue.only, alpha.only) and green.symbols.max() < LITERALS:
+    if groups == 1 and not cache_bits and None not in (red.only, blue.only, alpha.only):
         rest = alpha.only << 24 | red.only << 16 | blue.only
-        return (_symbols(bits, green, total).astype(np.uint32) << np.uint32(8)) | np.uint32(rest)
+        return (_greens(bits, green, codes[0][4], width, total).astype(np.uint32) << np.uint32(8)) | np.uint32(rest)
     return _pixels(bits, width, total, cache_bits, codes, tile, chosen)
 
 
-def _symbols(bits: Bits, code: Code, count: int) -> np.ndarray:
-    """The next count symbols of one code."""
-    if code.only is not None:
-        return np.full(count, code.only, dtype=np.int32)
-    first = bits.at >> 3
-    held = min(len(bits.data) - first, (count * code.longest >> 3) + 4)
-    data = np.frombuffer(bits.data, dtype=np.uint8, offset=first, count=held).astype(np.uint32)
+def _back(bits: Bits, code: Code, width: int) -> int:
+    """The distance of a back-reference, in pixels."""
+    back = _amount(bits, code.read(bits))
+    if back > len(NEAR):
+        return back - len(NEAR)
+    x, y = NEAR[back - 1]
+    return max(1, x + y * width)
+
+
+def _greens(bits: Bits, code: Code, distance: Code, width: int, total: int) -> np.ndarray:
+    """The green channel of pixels whose other channels take no bits: literals of one code, and back-references."""
+    if code.only is not None and code.only < LITERALS:
+        return np.full(total, code.only, dtype=np.int32)
+    base = bits.at & ~7
+    held = len(bits.data) - (base >> 3)
+    data = np.frombuffer(bits.data, dtype=np.uint8, offset=base >> 3, count=held).astype(np.uint32)
     ahead = data[:-2] | data[1:-1] << np.uint32(8) | data[2:] << np.uint32(16)
-    # For every bit position: the code's bits that would start there, and where the next, 2nd, 4th and 8th code starts.
+    # For every bit position: the code's bits that would start there, and where the next, 2nd, 4th and 8th code starts. A
+    # code that is no literal leads to itself, as does the end.
     windows = (ahead[:, None] >> np.arange(8, dtype=np.uint32) & np.uint32((1 << code.longest) - 1)).astype(np.uint16).reshape(-1)
     end = len(windows) - 1
-    one = np.minimum(code.sizes.take(windows) + np.arange(end + 1, dtype=np.int32), end)
+    sizes = np.where(code.symbols < LITERALS, code.sizes, 0).astype(np.int32)
+    one = np.minimum(sizes.take(windows) + np.arange(end + 1, dtype=np.int32), end)
     two = one.take(one)
     four = two.take(two)
-    jump = memoryview(four.take(four))
-    starts, at = [], bits.at & 7
-    for _ in range(-(-count // 8)):
-        starts.append(at)
-        at = jump[at]
+    jump, step = memoryview(four.take(four)), memoryview(one)
+    starts, copies, at, done, literals = [], [], bits.at - base, 0, 0
+    while done < total:
+        n = 0
+        while done + n < total:
+            starts.append(at)
+            after = jump[at]
+            if step[after] == after:
+                while step[at] != at:
+                    n, at = n + 1, step[at]
+                break
+            n, at = n + 8, after
+        n = min(n, total - done)
+        literals, done = literals + n, done + n
+        if done == total:
+            break
+        bits.at = base + at
+        symbol = code.read(bits)
+        if symbol < LITERALS or at >= end:
+            raise ValueError("the stream ends early")
+        length, back = _amount(bits, symbol - LITERALS), _back(bits, distance, width)
+        if back > done or done + length > total:
+            raise ValueError("a back-reference leaves the image")
+        copies.append((done, length, back))
+        done, at = done + length, bits.at - base
     at8 = np.empty((len(starts), 8), dtype=np.int32)
     at8[:, 0] = starts
     at8[:, 4] = four.take(at8[:, 0])
     at8[:, 2::4] = two.take(at8[:, ::4])
     at8[:, 1::2] = one.take(at8[:, ::2])
-    positions = at8.reshape(-1)[:count]
-    if positions[-1] >= end:
-        raise ValueError("the stream ends early")
-    bits.read(int(one[positions[-1]]) - (bits.at & 7))
-    return code.symbols.take(windows.take(positions))
+    positions = at8.reshape(-1)
+    positions = positions[one.take(positions) != positions][:literals] if copies else positions[:literals]
+    if literals and (not copies or copies[-1][0] + copies[-1][1] < total):
+        if len(positions) < literals or positions[-1] >= end:
+            raise ValueError("the stream ends early")
+        bits.at = base + int(one[positions[-1]])
+        bits.read(0)
+    found = code.symbols.take(windows.take(positions))
+    return _copied(found, copies, total) if copies else found
+
+
+def _copied(literals: np.ndarray, copies: list[tuple[int, int, int]], total: int) -> np.ndarray:
+    """All samples, from the literals in order and the copies (where, how many, how far back)."""
+    open_ = np.ones(total, dtype=bool)
+    for at, length, _ in copies:
+        open_[at : at + length] = False
+    out = np.empty(total, dtype=np.int32)
+    out[open_] = literals
+    for at, length, back in copies:
+        source = out[at - back : min(at, at - back + length)]
+        out[at : at + length] = source if back >= length else np.resize(source, length)
+    return out
 
 
 def _pixels(bits: Bits, width: int, total: int, cache_bits: int, codes: list[list[Code]], tile: int, chosen: list[list[int]] | None) -> np.ndarray:
@@ -250,12 +304,7 @@ def _pixels(bits: Bits, width: int, total: int, cache_bits: int, codes: list[lis
             out.append(group[3].read(bits) << 24 | red << 16 | symbol << 8 | blue)
         elif symbol < LITERALS + LENGTHS:
             length = _amount(bits, symbol - LITERALS)
-            back = _amount(bits, group[4].read(bits))
-            if back > len(NEAR):
-                back -= len(NEAR)
-            else:
-                x, y = NEAR[back - 1]
-                back = max(1, x + y * width)
+            back = _back(bits, group[4], width)
             if back > at or at + length > total:
                 raise ValueError("a back-reference leaves the image")
             for _ in range(length):
@@ -494,33 +543,146 @@ def write_code(out: Writer, lengths: np.ndarray) -> None:
             at += zeros
 
 
+def matches(samples: np.ndarray) -> np.ndarray:
+    """Back-references (where, length, distance) that do not overlap, from the begins of words on, each to the last place
+    before that begins with the same MIN_MATCH samples."""
+    none = np.empty((0, 3), dtype=np.int64)
+    n = len(samples)
+    if n < 2 * MIN_MATCH:
+        return none
+    space = (samples == 32) | (samples == 10)
+    begins = np.concatenate([[0], np.flatnonzero(space[:-1] & ~space[1:]) + 1])
+    begins = begins[begins + MIN_MATCH <= n]
+    first = np.lib.stride_tricks.sliding_window_view(samples, MIN_MATCH)[begins].copy().view("<u8")
+    key = first[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ first[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F)
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]]) + 1
+    if not len(same):
+        return none
+    here, there = begins[order[same]], begins[order[same - 1]]
+    turn = np.argsort(here)
+    data, out, end = samples.tobytes(), [], 0
+    for at, source in zip(here[turn].tolist(), there[turn].tolist(), strict=True):
+        if at < end or data[at : at + MIN_MATCH] != data[source : source + MIN_MATCH]:
+            continue
+        length, most = MIN_MATCH, min(LONGEST_COPY, n - at)
+        while length < most:
+            part = min(256, most - length)
+            a, b = samples[at + length : at + length + part], samples[source + length : source + length + part]
+            differ = np.flatnonzero(a != b)
+            length += int(differ[0]) if len(differ) else part
+            if len(differ):
+                break
+        out.append((at, length, at - source))
+        end = at + length
+    return np.array(out, dtype=np.int64).reshape(-1, 3)
+
+
+def prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol, extra bits, how many) for lengths or distance codes, the inverse of ``_amount``."""
+    u = values.astype(np.int64) - 1
+    high = np.frexp(np.maximum(u, 1).astype(np.float64))[1] - 1
+    extra = np.where(u < 4, 0, high - 1)
+    symbol = np.where(u < 4, u, 2 * high + (u >> np.maximum(high - 1, 0) & 1))
+    return symbol, u & ((1 << extra) - 1), extra
+
+
+def put_all(out: Writer, values: np.ndarray, sizes: np.ndarray) -> bytes:
+    """The bits of the writer, then the values with these sizes, of at most 24 bits each."""
+    head = out.value.to_bytes((out.size + 7) >> 3, "little")
+    if not int(sizes.sum()):
+        return head
+    ends = np.cumsum(sizes) + (out.size & 7)
+    begin = ends - sizes
+    shifted = values << (begin & 7)
+    byte, total = begin >> 3, (int(ends[-1]) + 7 >> 3) + 3
+    body = np.bincount(byte, weights=shifted & 255, minlength=total)
+    for k in range(1, 4):
+        body += np.bincount(byte + k, weights=shifted >> 8 * k & 255, minlength=total)
+    packed = bytearray(body[: total - 3].astype(np.uint8).tobytes())
+    if out.size & 7:
+        packed[0] |= head[-1]
+        head = head[:-1]
+    return head + bytes(packed)
+
+
+def _put_single(out: Writer, symbol: int) -> None:
+    out.put(1 | (1 << 2), 3)
+    out.put(symbol, 8)
+
+
+def _put_palette(out: Writer, colours: list[int]) -> None:
+    """The palette transform: opaque colours that differ in green, each as its difference to the one before."""
+    out.put(1, 1)
+    out.put(PALETTE, 2)
+    out.put(len(colours) - 1, 8)
+    out.put(0, 1)  # no colour cache
+    steps = [b - a for a, b in zip([0, *colours], colours, strict=False)]
+    lengths = code_lengths(np.bincount(steps, minlength=LITERALS + LENGTHS))
+    write_code(out, lengths)
+    _put_single(out, 0)
+    _put_single(out, 0)
+    if len(colours) > 1:
+        out.put(0b111, 3)  # simple, two symbols, the first of eight bits
+        out.put(0, 8)
+        out.put(255, 8)
+    else:
+        _put_single(out, 255)
+    _put_single(out, 0)
+    codes = canonical(lengths).tolist() if np.count_nonzero(lengths) > 1 else None
+    for k, step in enumerate(steps):
+        if codes:
+            out.put(codes[step], int(lengths[step]))
+        if len(colours) > 1:
+            out.put(0 if k else 1, 1)  # alpha 255 for the first, no difference for the others
+
+
 def encode_frame(samples: np.ndarray) -> bytes:
     """A WebP file of rows of 64 samples, in green; red and blue are 0 and alpha is 255."""
-    height = len(samples) // WIDTH
     out = Writer()
-    for value, n in ((SIGNATURE, 8), (WIDTH - 1, 14), (height - 1, 14), (0, 1), (0, 3), (0, 1), (0, 1), (0, 1)):
+    for value, n in ((SIGNATURE, 8), (WIDTH - 1, 14), (len(samples) // WIDTH - 1, 14), (0, 1), (0, 3)):
         out.put(value, n)
-    lengths = code_lengths(np.bincount(samples, minlength=LITERALS + LENGTHS))
-    write_code(out, lengths)
-    for only in (0, 0, 255, 0):
-        out.put(1 | (1 << 2), 3)
-        out.put(only, 8)
-    head = out.value.to_bytes((out.size + 7) >> 3, "little")
-    if np.count_nonzero(lengths) > 1:
-        size = lengths[samples]
-        ends = np.cumsum(size) + (out.size & 7)
-        begin = ends - size
-        value = canonical(lengths)[samples] << (begin & 7)
-        byte, total = begin >> 3, (int(ends[-1]) + 7 >> 3) + 2
-        body = np.bincount(byte, weights=value & 255, minlength=total)
-        for k in (1, 2):
-            body += np.bincount(byte + k, weights=value >> 8 * k & 255, minlength=total)
-        body = bytearray(body[: total - 2].astype(np.uint8).tobytes())
-        if out.size & 7:
-            body[0] |= head[-1]
-            head = head[:-1]
-        head += bytes(body)
-    chunk = b"VP8L" + len(head).to_bytes(4, "little") + head + bytes(len(head) % 2)
+    colours = np.flatnonzero(np.bincount(samples, minlength=LITERALS))
+    if len(colours) <= 16:
+        _put_palette(out, colours.tolist())
+        packed = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1
+        index = np.searchsorted(colours, samples).reshape(-1, 1 << packed)
+        samples = (index << (8 >> packed) * np.arange(1 << packed)).sum(axis=1)
+        copies = np.empty((0, 3), dtype=np.int64)
+    else:
+        copies = matches(samples)
+    for value, n in ((0, 1), (0, 1), (0, 1)):  # no more transforms, no colour cache, one group of codes
+        out.put(value, n)
+    at, lengths, back = copies.T
+    is_copied = np.zeros(len(samples) + 1, dtype=np.int64)
+    is_copied[at] += 1
+    np.subtract.at(is_copied, at + lengths, 1)
+    literal = np.flatnonzero(np.cumsum(is_copied[:-1]) == 0)
+    length_symbol, length_extra, length_bits = prefixed(lengths)
+    back_symbol, back_extra, back_bits = prefixed(back + len(NEAR))
+    counts = np.bincount(samples[literal], minlength=LITERALS + LENGTHS) + np.bincount(length_symbol + LITERALS, minlength=LITERALS + LENGTHS)
+    green, distance = code_lengths(counts), code_lengths(np.bincount(back_symbol, minlength=DISTANCES))
+    write_code(out, green)
+    for only in (0, 0, 255):
+        _put_single(out, only)
+    write_code(out, distance)
+    # A literal is one item; a back-reference four, in the place of its first sample.
+    items = np.zeros(len(samples) + 1, dtype=np.int64)
+    items[literal], items[at] = 1, 4
+    first = np.concatenate([[0], np.cumsum(items)[:-1]])
+    values, sizes = np.zeros(int(items.sum()), dtype=np.int64), np.zeros(int(items.sum()), dtype=np.int64)
+
+    def put(where: np.ndarray, symbols: np.ndarray, code: np.ndarray) -> None:
+        if np.count_nonzero(code) > 1:
+            values[where], sizes[where] = canonical(code)[symbols], code[symbols]
+
+    put(first[literal], samples[literal], green)
+    put(first[at], length_symbol + LITERALS, green)
+    put(first[at] + 2, back_symbol, distance)
+    values[first[at] + 1], sizes[first[at] + 1] = length_extra, length_bits
+    values[first[at] + 3], sizes[first[at] + 3] = back_extra, back_bits
+    stream = put_all(out, values, sizes)
+    chunk = b"VP8L" + len(stream).to_bytes(4, "little") + stream + bytes(len(stream) % 2)
     return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
 
 
@@ -551,28 +713,42 @@ def _parts(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
 
 
-def read(media: DataFrame, pixels: bool = True) -> DataFrame:
-    """The columns of ``media`` (doc_id, n_bytes, media) read back: payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, feature, and with ``pixels`` the height, width and ARGB pixels (little-endian
-    32-bit) of each frame in place of the media."""
+#: Pixel arrays of a file's frames, row by row, as little-endian 32-bit ARGB.
+IMAGES = "images array<struct<height: int, width: int, argb: binary>>"
+_IMAGES = pa.list_(pa.struct([("height", pa.int32()), ("width", pa.int32()), ("argb", pa.binary())]))
+
+
+def read(media: DataFrame) -> DataFrame:
+    """Rows (doc_id, n_bytes, media_bytes, media_sha256, images) of ``media`` (doc_id, n_bytes, media): the pixel arrays."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch):
-                rows = [(*_features(m := value.as_py(), images := decode(m)), [{"height": i.shape[0], "width": i.shape[1], "argb": i.tobytes()} for i in images] if pixels else None) for value in part.column(2)]
-                columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types[: 7 if pixels else 6])]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=names)
+            for part in _parts(batch, 64):
+                files = [m.as_py() for m in part.column(2)]
+                images = [[{"height": i.shape[0], "width": i.shape[1], "argb": i.astype("<u4").tobytes()} for i in decode(m)] for m in files]
+                columns = [pa.array([len(m) for m in files], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in files]), pa.array(images, _IMAGES)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["doc_id", "n_bytes", "media_bytes", "media_sha256", "images"])
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(scan, f"doc_id long, n_bytes long, media_bytes long, media_sha256 string, {IMAGES}")
+
+
+def features(images: DataFrame) -> DataFrame:
+    """Rows (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) from the pixel
+    arrays of ``read``: the payload is their green channel."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [_features(row.as_py()) for row in batch.column(4)]
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns[:3], *batch.columns[2:4], columns[3]], names=names)
 
-    image = pa.struct([("height", pa.int32()), ("width", pa.int32()), ("argb", pa.binary())])
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(image)]
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *["images"] * pixels]
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", images array<struct<height: int, width: int, argb: binary>>" * pixels
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(scan, schema)
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    return images.mapInArrow(scan, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
-def _features(media: bytes, images: list[np.ndarray]) -> tuple:
-    samples = np.concatenate([(i >> np.uint32(8)).astype(np.uint8).reshape(-1) for i in images])
+def _features(images: list[dict]) -> tuple:
+    samples = np.concatenate([(np.frombuffer(i["argb"], dtype="<u4") >> np.uint32(8)).astype(np.uint8) for i in images])
     back = samples.tobytes()
     shades = np.bincount(samples >> 5, minlength=8).tolist()
     feature = f"{WIDTH}x{len(samples) // WIDTH} sum={int(samples.sum(dtype=np.int64))} shades={','.join(map(str, shades))}"
-    return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature
+    return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), feature

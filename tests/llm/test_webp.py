@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import random
 import zlib
@@ -108,6 +109,40 @@ def put_image(out, pixels, width, rng, cache_bits=0, copies=False, tile=None, ma
                 put[group][part[0]](part[1])
 
 
+def half(a, b):
+    return [(x + y) // 2 for x, y in zip(a, b)]
+
+
+def clamped(values):
+    return [min(255, max(0, v)) for v in values]
+
+
+def selected(left, top, corner):
+    """The neighbour nearer to left + top - corner, by the sum over channels; top where both are as near."""
+    guess = [x + t - c for x, t, c in zip(left, top, corner)]
+    far = lambda p: sum(abs(g - v) for g, v in zip(guess, p))
+    return left if far(left) < far(top) else top
+
+
+#: The fourteen predictions, written down from the format's description: left, top, top right, top left.
+PREDICTIONS = [
+    lambda x, t, r, c: (255, 0, 0, 0),
+    lambda x, t, r, c: x,
+    lambda x, t, r, c: t,
+    lambda x, t, r, c: r,
+    lambda x, t, r, c: c,
+    lambda x, t, r, c: half(half(x, r), t),
+    lambda x, t, r, c: half(x, c),
+    lambda x, t, r, c: half(x, t),
+    lambda x, t, r, c: half(c, t),
+    lambda x, t, r, c: half(t, r),
+    lambda x, t, r, c: half(half(x, c), half(t, r)),
+    lambda x, t, r, c: selected(x, t, c),
+    lambda x, t, r, c: clamped(p + q - o for p, q, o in zip(x, t, c)),
+    lambda x, t, r, c: clamped(h + (abs(h - o) // 2) * (1 if h >= o else -1) for h, o in zip(half(x, t), c)),
+]
+
+
 def forward_predictor(pixels, width, tile, modes):
     across, out = -(-width >> tile), []
     for at, pixel in enumerate(pixels):
@@ -117,7 +152,7 @@ def forward_predictor(pixels, width, tile, modes):
         elif not x:
             guess = pixels[at - width]
         else:
-            guess = webp.predict(modes[(y >> tile) * across + (x >> tile)], pixels[at - 1], pixels[at - width], pixels[at - width + 1], pixels[at - width - 1])
+            guess = PREDICTIONS[modes[(y >> tile) * across + (x >> tile)]](pixels[at - 1], pixels[at - width], pixels[at - width + 1], pixels[at - width - 1])
         out.append(tuple((p - q) % 256 for p, q in zip(pixel, guess)))
     return out
 
@@ -196,6 +231,52 @@ def test_decoder_inverts_every_feature(colours, transforms):
         assert found.reshape(-1).tolist() == whole(pixels), how
 
 
+def test_a_file_of_another_writer():
+    # The lossless sample that web pages use to find out whether a browser knows the format: one transparent pixel.
+    found = webp.decode(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA=="))
+    assert [i.tolist() for i in found] == [[[0]]]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_green_images_take_the_same_values_either_way(seed, monkeypatch):
+    rng = random.Random(seed)
+    width, height = rng.randint(1, 40), rng.randint(1, 40)
+    pixels = [(255, 0, rng.choice([0, 7, 7, 7, 200, *range(rng.choice([1, 30, 256]))]), 0) for _ in range(width * height)]
+    for at in range(9, len(pixels)):
+        if rng.random() < 0.7:
+            pixels[at] = pixels[at - rng.choice([1, 2, 9])]
+    made = stream(pixels, width, rng, copies=True)
+    assert webp.decode_stream(made).reshape(-1).tolist() == whole(pixels)
+    monkeypatch.setattr(webp, "_greens", lambda bits, green, distance, width, total: webp._pixels(bits, width, total, 0, [[green, *[webp.single(0)] * 3, distance]], 0, None) >> 8)
+    assert webp.decode_stream(made).reshape(-1).tolist() == whole(pixels)
+
+
+def test_prefixes_are_the_inverse_of_amounts():
+    values = np.array([*range(1, 5000), *(2**k + d for k in range(12, 21) for d in (-1, 0, 1, 2))])
+    for value, symbol, extra, n in zip(values.tolist(), *(x.tolist() for x in webp.prefixed(values))):
+        assert (symbol, extra, n) == prefix(value)
+
+
+def test_repeats_become_back_references_and_few_samples_a_palette():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
+    passage = " ".join(words[:40])
+    text = " ".join([*words, passage, "between", passage, *words[500:900]]).encode()
+    data = webp.payload(text)
+    found = webp.matches(np.frombuffer(data, dtype=np.uint8))
+    assert found[:, 1].sum() > 2 * len(passage) - 40 and (found[:, 1] >= webp.MIN_MATCH).all() and (found[:, 1] <= 4096).all()
+    assert (np.diff(found[:, 0]) >= found[:-1, 1]).all()
+    for at, length, back in found.tolist():
+        assert all(data[at + k] == data[at + k - back] for k in range(length))
+    for body in (text, b"the " * 50_000, b"0123456789abcdef" * 900, b"ab" * 7000, b"", b"abc " * 99, (passage * 300).encode(), b"\n \n" * 5000 + text):
+        data = webp.payload(body)
+        media = webp.encode(data)
+        assert b"".join((i >> 8 & 255).astype(np.uint8).tobytes() for i in webp.decode(media)) == data
+        assert all((i & 0xFFFF00FF == 0xFF000000).all() for i in webp.decode(media))
+    assert len(webp.encode(webp.payload(b"the " * 50_000))) < 40_000 and len(webp.encode(webp.payload((passage * 300).encode()))) < 12_000
+    assert len(webp.encode(webp.payload(b"ab" * 7000))) < 14_000 / 8 + 100
+
+
 def test_payloads_round_trip():
     rng = random.Random(7)
     skewed = bytes(b for k in range(24) for b in [k] * min(1 << k, 1 << 16))  # codes longer than 15 bits without the limit
@@ -224,13 +305,17 @@ def test_broken_media_raise():
 def test_columns(spark):
     texts = [None, "", "a", "word " * 40, "é" * 77, "x" * 300_000, "word " * 40]
     docs = spark.createDataFrame([(i if i != 2 else None, t, "clash", 5) for i, t in enumerate(texts)], "doc_id long, text string, media string, n_bytes long")
-    out = webp.read(webp.store(docs)).collect()
+    pixels = webp.read(webp.store(docs))
+    images = {r.doc_id: r.images for r in pixels.collect()}
+    out = webp.features(pixels).collect()
     assert len(out) == len(texts)
     by = {r.doc_id: r for r in out}
     for i, t in enumerate(texts):
         r, body = by[i if i != 2 else None], (t or "").encode()
         data = body + bytes(-len(body) % 64 if body else 64)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(body), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]))
-        assert sum(im.height * im.width for im in r.images) == len(data) and len(r.images[0].argb) == 4 * r.images[0].height * 64
+        own = images[r.doc_id]
+        assert sum(im.height * im.width for im in own) == len(data)
+        assert b"".join(bytes(im.argb) for im in own) == b"".join(bytes([0, b, 0, 255]) for b in data)
     assert by[3].media_sha256 == by[6].media_sha256 and by[3].feature == by[6].feature
-    assert webp.read(webp.store(docs.limit(0))).count() == 0
+    assert webp.features(webp.read(webp.store(docs.limit(0)))).count() == 0
