@@ -1,7 +1,8 @@
+import random
 from collections import Counter
 
 import corpus_pipeline
-from skarn.llm import packing, sanitise, toxicity
+from skarn.llm import mixing, packing, sanitise, toxicity
 from skarn.llm.common import Stored
 from test_simhash import plain_components, plain_fingerprint
 import public_tokenizers
@@ -29,7 +30,7 @@ def test_stages_against_plain_versions(spark, sf_dir):
     texts = {r.doc_id: r for r in safe.collect()}
     assert set(texts) == set(spans) and safe.columns == docs.columns
     for i, r in texts.items():
-        assert (r.text == source[i].text) == (not spans[i]) and r.source == source[i].source
+        assert (r.text == source[i].text) == (not spans[i]) and r.source == source[i].source and r.n_chars == len(r.text)
 
     mixed = stages["mixing"](spark, safe, sf_dir)
     assert Counter(map(tuple, mixed.collect())) == Counter(map(tuple, texts.values()))
@@ -76,3 +77,78 @@ def test_mixing_decides_the_sequences(spark, monkeypatch):
     assert 0.4 < share < 0.6
     late = [d for s in range(len(mixed) // 2, len(mixed)) for _, _, d in mixed[s]]
     assert not rare & set(late)
+
+
+def odd_documents(spark):
+    rng = random.Random(11)
+    prose = lambda n: " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) + rng.choice("ijklmnop") for _ in range(n))
+    same = prose(80)
+    rows = [
+        *[(i, prose(40 + i), "en", f"src{i % 9}", 1) for i in range(60)],
+        (None, prose(50), None, None, None),
+        (None, None, None, None, None),
+        (70, None, "en", "src0", 0),
+        (71, "", "en", None, 0),
+        (72, "", "de", "src1", 0),
+        *[(73 + i, same, "en", "src0", 5) for i in range(5)],
+        *[(80, same, "en", "src0", 5)] * 2,
+        (81, prose(30) + " jan@x.org 10.0.0.1 +1 555 123 4567", "en", "src2", 3),
+        (82, f"{prose(60_000)} long@y.org", "en", "src2", 7),
+    ]
+    extra = "_row_hash long, text_key string, mix_group int, place long, `a.b` string"
+    return spark.createDataFrame([(*r, k, "x", k, k, "y") for k, r in enumerate(rows)], f"doc_id long, text string, lang string, source string, n_chars long, {extra}"), rows
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    docs, rows = odd_documents(spark)
+    stages = dict(corpus_pipeline.STAGES)
+    now = docs
+    for name in list(stages)[:-1]:
+        out = Stored(stages[name](spark, now, sf_dir), "test-stage").df
+        assert out.dtypes == docs.dtypes, name
+        kept = out.collect()
+        if name == "toxicity":
+            assert len(kept) == len(rows)
+        elif name == "near_duplicates":
+            # Texts without words are one component, equal texts another; null ids go before others.
+            assert Counter(not (r.text or "").split() for r in kept)[True] == 1 and sum(r.doc_id in range(73, 81) for r in kept) == 1
+            assert {r.doc_id for r in kept} >= {*range(60), 81, 82, None}
+            assert all(tuple(r) == tuple(docs.where(docs.mix_group == r.mix_group).first()) for r in kept)
+        elif name == "personal_data":
+            assert len(kept) == len(before) and not any("@" in (r.text or "") for r in kept)
+            assert all(r.n_chars == (len(r.text) if r.text is not None else b.n_chars) for r, b in zip(sorted(kept, key=lambda r: r.mix_group), sorted(before, key=lambda r: r.mix_group), strict=True))
+        else:
+            assert Counter(map(tuple, kept)) == Counter(map(tuple, before))
+        before, now = kept, out
+    packed = stages["packing"](spark, now, sf_dir).collect()
+    assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(r.doc_id for r in before)
+    assert sum(r.piece > 0 for r in packed) >= 10
+
+
+def test_stages_on_no_rows(spark, sf_dir):
+    docs, _ = odd_documents(spark)
+    now = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = Stored(stage(spark, now, sf_dir), "test-stage").df
+        assert now.dtypes == docs.dtypes and now.count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, now, sf_dir).count() == 0
+
+
+def test_shares_along_the_sequences(spark, sf_dir):
+    """Sources stand in the packed sequences as the weights say, from begin to end of the stretch in which all last."""
+    rows = [(i, f"{i} word " * 60, "en", f"src{i % 3}", 1) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    mixed = Stored(corpus_pipeline.mix_sources(spark, docs, sf_dir), "test-mixed").df
+    out = corpus_pipeline.pack_sequences(spark, mixed, sf_dir).collect()
+    share = {"src0": 0.5, "src1": 0.25, "src2": 0.25}
+    order = [f"src{r.doc_id % 3}" for r in sorted(out, key=lambda r: (r.sequence_id, r.offset))]
+    lasting = int(2000 / 0.5)
+    for at in range(0, lasting - 400, 400):
+        part = Counter(order[at : at + 400])
+        assert all(abs(part[s] / 400 - x) < 0.13 for s, x in share.items()), (at, part)
+    placed = mixing.positions(docs, corpus_pipeline.MIX_WEIGHTS, corpus_pipeline.MIX_REST)
+    position = {r.doc_id: r.mix_position for r in placed.collect()}
+    by_length = {}
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        by_length.setdefault(r.length, []).append(position[r.doc_id])
+    assert all(p == sorted(p) for p in by_length.values())  # the mixed order holds within each length
