@@ -29,7 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stored, free_name, named
@@ -164,24 +164,24 @@ def find(docs: DataFrame, text_column: str = "text", **keep: Column) -> DataFram
 
 
 def _classes(seen: DataFrame) -> DataFrame:
-    """Rows (text_key, class, entity_df): for each text the classes of its entities; those of a class stand in the same
-    texts. seen: rows (text_key, copies, entity), each once."""
-    low, high = F.xxhash64("text_key"), F.xxhash64("text_key", F.lit(1))
-    same = F.concat_ws(":", F.count("*"), F.bit_xor(low), F.bit_xor(high), F.min("text_key"), F.max("text_key"))
-    of = seen.groupBy("entity").agg(F.md5(same.cast("binary")).alias("class"), F.sum("copies").alias("entity_df"))
-    return seen.join(of, "entity").select("text_key", "class", "entity_df").distinct()
+    """Rows (text_id, class, entity_df): for each text the classes of its entities; those of a class stand in the same
+    texts. seen: rows (text_id, copies, entity), each once."""
+    low, high = F.xxhash64("text_id"), F.xxhash64("text_id", F.lit(1))
+    same = F.concat_ws(":", F.count("*"), F.bit_xor(low), F.bit_xor(high), F.min("text_id"), F.max("text_id"))
+    of = seen.groupBy("entity").agg(F.unhex(F.md5(same.cast("binary"))).alias("class"), F.sum("copies").alias("entity_df"))
+    return seen.join(of, "entity").select("text_id", "class", "entity_df").distinct()
 
 
-def telling(docs: DataFrame, found: DataFrame, text_column: str = "text", generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> tuple[Stored, Stored]:
-    """The different texts with base spans (text_key, copies, base, body, masked), and the terms that are marked in each,
-    (text_key, term, order). found: a stored ``find`` of docs."""
+def telling(docs: DataFrame, found: DataFrame, text_column: str = "text", generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> Stored:
+    """The different texts with base spans and the terms that are marked in each: rows (text_key, base, body, masked, marks),
+    marks as ``_sought`` makes them, null where there are none. found: a stored ``find`` of docs."""
     once = found.where(F.size("base") > 0).groupBy("text_key").agg(F.count("*").alias("copies"), F.first("base").alias("base"), F.first("body").alias("body"))
-    texts = Stored(once.withColumn("masked", _masked(F.col("body"), F.col("base"))), "sanitise-texts")
+    texts = Stored(once.withColumn("masked", _masked(F.col("body"), F.col("base"))).withColumn("text_id", F.monotonically_increasing_id()), "sanitise-texts")
     entity = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["order"], F.lower(s["value"]))))
-    classes = Stored(_classes(texts.df.select("text_key", "copies", F.explode(entity).alias("entity"))), "sanitise-classes")
-    terms = Stored(texts.df.select("text_key", "copies", F.explode(_terms(F.col("masked"), MASKED_WORD)).alias("term")), "sanitise-terms")
+    classes = Stored(_classes(texts.df.select("text_id", "copies", F.explode(entity).alias("entity"))), "sanitise-classes")
+    terms = Stored(texts.df.select("text_id", "copies", F.explode(_terms(F.col("masked"), MASKED_WORD)).alias("term")), "sanitise-terms")
     evidence = F.count("*").cast("double")
-    pair = classes.df.join(terms.df, "text_key").groupBy("class", "term").agg(F.sum("copies").alias("pair_df"), F.first("entity_df").alias("entity_df"), (evidence * evidence / (evidence * evidence + 1)).alias("smoothing"))
+    pair = classes.df.join(terms.df, "text_id").groupBy("class", "term").agg(F.sum("copies").alias("pair_df"), F.first("entity_df").alias("entity_df"), (evidence * evidence / (evidence * evidence + 1)).alias("smoothing"))
     # The quotient is 1 at most, so that a pair whose smoothing is below the threshold can't reach it.
     pairs = pair.where(F.col("smoothing") >= generalise_at - ROUNDING)
     # Words outside base spans: those of all texts, less those of texts with spans, and these with their spans masked.
@@ -195,39 +195,67 @@ def telling(docs: DataFrame, found: DataFrame, text_column: str = "text", genera
     scored = pairs.join(term_df, "term").withColumn("disclosure", F.when(information > 0, F.col("smoothing") * shared / information).otherwise(F.lit(0.0)))
     order = F.when(F.col("disclosure") >= remove_at - ROUNDING, F.lit(KINDS.index("remove"))).otherwise(F.lit(KINDS.index("generalise")))
     found_terms = scored.where(F.col("disclosure") >= generalise_at - ROUNDING).select("class", "term", order.alias("order"))
-    marked = classes.df.join(found_terms, "class").groupBy("text_key", "term").agg(F.max("order").alias("order"))
-    out = Stored(marked.join(terms.df.select("text_key", "term"), ["text_key", "term"]), "sanitise-marked")
-    classes.drop()
-    terms.drop()
-    return texts, out
+    marked = classes.df.join(found_terms, "class").groupBy("text_id", "term").agg(F.max("order").alias("order"))
+    own = marked.join(terms.df.select("text_id", "term"), ["text_id", "term"]).groupBy("text_id").agg(F.collect_list(F.struct("term", "order")).alias("marks"))
+    # Stored, so that the table of a text's marks is made once and not for each of its words.
+    marks = Stored(own.select("text_id", _sought(F.col("marks")).alias("marks")), "sanitise-marks")
+    out = Stored(texts.df.join(marks.df, "text_id", "left").drop("text_id", "copies"), "sanitise-marked")
+    for old in (texts, classes, terms, marks):
+        old.drop()
+    return out
 
 
-def _words(texts: DataFrame, text: Column, pattern: str) -> DataFrame:
-    """Rows (text_key, k, gap, word, term): the words of texts with the text before each; at last the rest, without a word."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.arrays_zip(values.alias("word"), F.split(text, pattern, -1).alias("gap"))
-    rows = texts.select("text_key", F.posexplode(steps).alias("k", "w")).select("text_key", "k", "w.gap", "w.word")
-    return rows.withColumn("term", F.lower("word"))
+def _sought(marks: Column) -> Column:
+    """Marks (term, order) in as many buckets as the root of their number, by the term's hash."""
+    many = F.ceil(F.sqrt(F.size(marks))).cast("int")
+    return F.transform(F.sequence(F.lit(0), many - 1), lambda b: F.filter(marks, lambda m: F.pmod(F.xxhash64(m["term"]), many) == b))
+
+
+def _order(marks: Column, term: Column) -> Column:
+    """The order of a term's mark, or null."""
+    bucket = F.get(marks, F.pmod(F.xxhash64(term), F.size(marks)).cast("int"))
+    return F.get(F.filter(bucket, lambda m: m["term"] == term), F.lit(0))["order"]
+
+
+def _words(text: Column, pattern: str) -> Column:
+    """Array of (gap, word): the words of a text with the text before each; at last the rest, without a word."""
+    return F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("word"))
 
 
-def term_spans(texts: DataFrame, marked: DataFrame) -> DataFrame:
-    """Rows (text_key, added): spans of marked terms by text, array of (start, order, end, value). Places are sums of sizes
-    over a text's words."""
-    words = _words(texts.join(marked.select("text_key").distinct(), "text_key", "left_semi"), F.col("masked"), MASKED_WORD).where("word IS NOT NULL")
-    so_far = Window.partitionBy("text_key").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    size = F.length("word")
-    ends = words.select("text_key", "term", size.alias("size"), F.sum(F.length("gap") + size).over(so_far).cast("int").alias("end"))
-    hits = ends.select("text_key", "term", (F.col("end") - F.col("size")).alias("start"), "end").join(marked, ["text_key", "term"])
-    return hits.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("start", "order", "end", F.col("term").alias("value")))).alias("added"))
+def term_spans(texts: DataFrame) -> DataFrame:
+    """Rows (text_key, added): spans of marked terms by text, array of (start, order, end, value), in order. A text's words
+    are walked once; spans are gathered in blocks, so that arrays that grow stay short."""
+    block, spans = f"array<{SPAN}>", f"array<array<{SPAN}>>"
+    sized = F.transform(
+        _words(F.col("masked"), MASKED_WORD),
+        lambda w: F.struct(F.length(w["gap"]).alias("gap"), F.coalesce(F.length(w["word"]), F.lit(0)).alias("size"), F.lower(w["word"]).alias("term"), _order(F.col("marks"), F.lower(w["word"])).alias("order")),
+    )
 
+    def step(acc: Column, w: Column) -> Column:
+        start = acc["at"] + w["gap"]
+        one = F.array(F.struct(start.alias("start"), w["order"].alias("order"), (start + w["size"]).alias("end"), w["term"].alias("value")))
+        full = F.size(acc["block"]) >= 128
+        return F.struct(
+            (start + w["size"]).alias("at"),
+            F.when(w["order"].isNull(), acc["block"]).when(full, one).otherwise(F.concat(acc["block"], one)).alias("block"),
+            F.when(w["order"].isNotNull() & full, F.concat(acc["done"], F.array(acc["block"]))).otherwise(acc["done"]).alias("done"),
+        )
 
-def rewritten(texts: DataFrame, marked: DataFrame) -> DataFrame:
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(block).alias("block"), F.array().cast(spans).alias("done"))
+    walked = F.aggregate(sized, start, step, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["block"]))))
+    return texts.where("marks IS NOT NULL").select("text_key", walked.alias("added"))
+
+
+def rewritten(texts: DataFrame) -> DataFrame:
     """Rows (text_key, clean): the texts with base spans as they come out, put together from their words."""
-    words = _words(texts, _labelled(F.col("body"), F.col("base")), LABELLED_WORD).join(marked, ["text_key", "term"], "left")
-    general = F.when(F.col("word").rlike(r"\p{N}"), F.lit("[NUMBER]")).otherwise(F.lit("[WORD]"))
-    shown = F.when(F.col("order") == KINDS.index("remove"), F.lit("")).when(F.col("order") == KINDS.index("generalise"), general).otherwise(F.translate(F.coalesce("word", F.lit("")), MASK, ""))
-    pieces = F.sort_array(F.collect_list(F.struct("k", F.concat("gap", shown).alias("piece"))))
-    return words.groupBy("text_key").agg(pieces.alias("pieces")).select("text_key", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("clean"))
+    general = lambda w: F.when(w.rlike(r"\p{N}"), F.lit("[NUMBER]")).otherwise(F.lit("[WORD]"))
+
+    def shown(w: Column) -> Column:
+        order = F.when(F.col("marks").isNull() | w["word"].isNull(), F.lit(None)).otherwise(_order(F.col("marks"), F.lower(w["word"])))
+        plain = F.translate(F.coalesce(w["word"], F.lit("")), MASK, "")
+        return F.concat(w["gap"], F.when(order.isNull(), plain).when(order == KINDS.index("remove"), F.lit("")).otherwise(general(w["word"])))
+
+    return texts.select("text_key", F.array_join(F.transform(_words(_labelled(F.col("body"), F.col("base")), LABELLED_WORD), shown), "").alias("clean"))
 
 
 def _span_text(spans: Column) -> Column:
@@ -238,10 +266,9 @@ def _span_text(spans: Column) -> Column:
 def digests(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **thresholds: float) -> DataFrame:
     """Rows (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for each of docs."""
     found = Stored(find(docs, text_column, doc_id=named(id_column)), "sanitise-found").df
-    texts, marked = telling(docs, found, text_column, **thresholds)
-    added = Stored(term_spans(texts.df, marked.df), "sanitise-added").df
+    texts = telling(docs, found, text_column, **thresholds)
+    added = Stored(term_spans(texts.df), "sanitise-added").df
     texts.drop()
-    marked.drop()
     both = found.drop("body").join(added, "text_key", "left")
     every = F.when(F.col("added").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "added")))
     return both.select("doc_id", *[_count(kind) for kind in PATTERNS], F.sha2(_span_text(F.col("base")), 256).alias("base_sha256"), _span_text(every).alias("spans"))
@@ -250,10 +277,10 @@ def digests(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 def sanitise(docs: DataFrame, text_column: str = "text", **thresholds: float) -> DataFrame:
     """docs with the text column sanitised; rows without spans are unchanged."""
     found = Stored(find(docs, text_column), "sanitise-found")
-    texts, marked = telling(docs, found.df, text_column, **thresholds)
-    clean = Stored(rewritten(texts.df, marked.df), "sanitise-clean").df
-    for old in (found, texts, marked):
-        old.drop()
+    texts = telling(docs, found.df, text_column, **thresholds)
+    clean = Stored(rewritten(texts.df), "sanitise-clean").df
+    found.drop()
+    texts.drop()
     key, new = free_name(docs, "text_key"), free_name(docs, "clean_text")
     keyed = docs.withColumn(key, F.md5(F.coalesce(named(text_column).cast("string"), F.lit("")).cast("binary")))
     joined = keyed.join(clean.select(F.col("text_key").alias(key), F.col("clean").alias(new)), key, "left")

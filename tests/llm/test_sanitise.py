@@ -158,7 +158,7 @@ def rewritten(text, spans):
 def test_spans_and_texts_match_brute_force(spark, table):
     if table == "made":
         _, texts = revealing(spark)
-        texts += [None, "", "o'neil_x-1 a@b.cc, a@b.cc O'Neil_x-1 É1 4111 1111 1111 1111", "a@b.cc é1 1.2.3.4 +1 555 123 4567x", f"odd{sanitise.MASK}char", "+1 10.0.0.1.2 345 678", "x" * 300_000 + " big@y.org " + "y1 z2 " * 3000]
+        texts += [None, "", "o'neil_x-1 a@b.cc, a@b.cc O'Neil_x-1 É1 4111 1111 1111 1111", "a@b.cc é1 1.2.3.4 +1 555 123 4567x", f"odd{sanitise.MASK}char", "+1 10.0.0.1.2 345 678", "x" * 20_000 + " big@y.org " + "y1 z2 " * 3000]
         ids = [None if i % 50 == 3 else i % 70 for i in range(len(texts))]
         docs = spark.createDataFrame([(i, t, "x", 1, t) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, base string, order int, clean_text string")
     else:
