@@ -41,7 +41,7 @@ from .common import Stored, named, utf8
 UNITS, UNIT_ROWS = 1024, 65_536
 PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
 CAPACITY, END_ID = 4096, 1
-CACHE_WORDS = 1_000_000  # about 200 MB
+CACHE_WORDS = 400_000  # about 80 MB
 
 
 class WordTokens:

@@ -51,18 +51,26 @@ def of_word(word: bytes) -> tuple[int, ...]:
     return tuple(xxhash.xxh64_intdigest(p) % DIMENSIONS for p in parts)
 
 
-_cache: dict[bytes, tuple[int, ...]] = {}
+class Words:
+    """The features of texts, through a bounded cache of their words that lasts as long as a task."""
+
+    def __init__(self) -> None:
+        self.known: dict[bytes, tuple[int, ...]] = {}
+
+    def features(self, body: bytes) -> set[int]:
+        """The different features of a text's words."""
+        known = self.known
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        words = set(body.lower().split())
+        for w in words:
+            if w not in known:
+                known[w] = of_word(w)
+        return set().union(*[known[w] for w in words])
 
 
 def features(body: bytes) -> set[int]:
-    """The different features of a text's words, through a bounded cache."""
-    if len(_cache) > CACHE_WORDS:
-        _cache.clear()
-    words = set(body.lower().split())
-    for w in words:
-        if w not in _cache:
-            _cache[w] = of_word(w)
-    return set().union(*[_cache[w] for w in words])
+    return Words().features(body)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -173,8 +181,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     texts = docs.select(named(id_column).cast("long").alias("doc_id"), utf8(text_column).alias("body")).join(F.broadcast(sample), "doc_id")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
         for batch in batches:
-            found = [sorted(features(b.as_py())) for b in batch.column(2)]
+            found = [sorted(words.features(b.as_py())) for b in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "toxic", "features"])
 
     found = texts.select("doc_id", "toxic", "body").mapInArrow(scan, "doc_id long, toxic int, features array<int>")
@@ -203,13 +212,15 @@ def severity(model: Model, text_column: str = "text") -> Column:
     weights = model.weights
 
     @F.arrow_udf("struct<p_toxic:double,expected_severity:double,grade:int,toxic:boolean>")
-    def score(body: pa.Array) -> pa.Array:
-        strength = np.array([weights[list(features(b.as_py()))].sum(dtype=np.float64) for b in body])
-        reach = model.reach(strength) if len(strength) else np.zeros((0, GRADES - 1))
-        full = np.concatenate([np.ones((len(reach), 1)), reach, np.zeros((len(reach), 1))], axis=1)
-        grade = (full[:, :-1] - full[:, 1:]).argmax(axis=1).astype(np.int32)
-        columns = [pa.array(reach[:, 0]), pa.array(reach.sum(axis=1)), pa.array(grade), pa.array((reach[:, 0] >= 0.5) & (strength > 0))]
-        return pa.StructArray.from_arrays(columns, names=["p_toxic", "expected_severity", "grade", "toxic"])
+    def score(bodies: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words = Words()
+        for body in bodies:
+            strength = np.array([weights[list(words.features(b.as_py()))].sum(dtype=np.float64) for b in body])
+            reach = model.reach(strength) if len(strength) else np.zeros((0, GRADES - 1))
+            full = np.concatenate([np.ones((len(reach), 1)), reach, np.zeros((len(reach), 1))], axis=1)
+            grade = (full[:, :-1] - full[:, 1:]).argmax(axis=1).astype(np.int32)
+            columns = [pa.array(reach[:, 0]), pa.array(reach.sum(axis=1)), pa.array(grade), pa.array((reach[:, 0] >= 0.5) & (strength > 0))]
+            yield pa.StructArray.from_arrays(columns, names=["p_toxic", "expected_severity", "grade", "toxic"])
 
     return score(utf8(text_column))
 
