@@ -39,6 +39,8 @@ from .common import Stored, named, utf8
 
 #: Units of a whole order: so many at least, and one for so many rows.
 UNITS, UNIT_ROWS = 1024, 65_536
+#: Multiples of it, taken modulo 1, are spread evenly.
+GOLDEN = (5**0.5 - 1) / 2
 PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
 CAPACITY, END_ID = 4096, 1
 CACHE_WORDS = 400_000  # about 80 MB
@@ -221,7 +223,8 @@ def _in_order(found: DataFrame, places: DataFrame, opened: np.ndarray, out: list
         for batch in batches:
             sequence = batch.column(0).to_numpy()
             step = opened[np.searchsorted(opened[:, 3], sequence, side="right") - 1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((sequence - step[:, 3] + 0.5) / step[:, 2])], names=["sequence_id", "share"])
+            within = step[:, 0] * GOLDEN % 1  # another place for each length, as many lengths open one sequence only
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((sequence - step[:, 3] + within) / step[:, 2])], names=["sequence_id", "share"])
 
     sequences, documents = int(opened[:, 2].sum()), places.count()
     units = lambda n: max(1, -(-n // max(UNITS, n // UNIT_ROWS)))
