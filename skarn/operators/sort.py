@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,13 +24,22 @@ def sort(df: DataFrame, *columns: str | tuple[str, str]) -> DataFrame:
     return df.orderBy(*keys(*columns))
 
 
-def positions(df: DataFrame, *columns: str | tuple[str, str], within: Sequence[str] = (), name: str = "pos") -> DataFrame:
+def positions(df: DataFrame, *columns: str | tuple[str, str], within: Sequence[str] = (), name: str = "pos", large_groups: bool = False) -> DataFrame:
     """The 1-based place of each row in the sorted order, of the table or within groups, as a column.
 
+    Within groups it is a window, with a group in a task; with ``large_groups`` the place in the table in the order of groups
+    less that of the group's first row, so that a group may be larger than a task.
+
     The place in a whole table comes from a distributed sort: rows are dealt by ranges of all keys, so that one frequent
     value of the first is spread, and numbered there; the table is stored so, as ranges are sampled and both uses of them
     must see the same, and the counts of earlier ranges are added. Rows equal in all keys are in one range."""
     order = keys(*columns)
+    if within and large_groups:
+        start, whole, *own = (free_name(df, n) for n in ("_start", "_place", *(f"_group{k}" for k in range(len(within)))))
+        placed = positions(df, *within, *columns, name=whole)
+        first = placed.groupBy(*[F.col(c).alias(o) for c, o in zip(within, own, strict=True)]).agg(F.min(whole).alias(start))
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(o)) for c, o in zip(within, own, strict=True)])
+        return placed.join(first, same).withColumn(name, F.col(whole) - F.col(start) + 1).drop(start, whole, *own)
     if within:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*order)).cast("long"))
     part, row, before = (free_name(df, n) for n in ("_part", "_row", "_before"))

@@ -383,7 +383,7 @@ def sort_multi(s, d):
 
 @query("SELECT c_nationkey, c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC NULLS LAST, c_custkey) AS BIGINT) AS pos FROM customer")
 def sort_within_partitions(s, d):
-    return sort.positions(table(s, d, "customer"), ("c_acctbal", "desc"), "c_custkey", within=["c_nationkey"]).select("c_nationkey", "c_custkey", "pos")
+    return sort.positions(table(s, d, "customer"), ("c_acctbal", "desc"), "c_custkey", within=["c_nationkey"], large_groups=True).select("c_nationkey", "c_custkey", "pos")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 10")

@@ -71,6 +71,18 @@ def test_columns_with_names_of_ours_stay(spark):
     assert {tuple(r) for r in aggregate.two_phase(df, ["_part"], ["_salt"]).collect()} == {(k, len(range(k, 20, 3)), sum(range(k, 20, 3))) for k in range(3)}
 
 
+@pytest.mark.parametrize("large_groups", [False, True])
+def test_positions_within_groups(spark, large_groups):
+    rows = [(None if i % 5 == 0 else i % 3, f"g{i % 2}", i * 7 % 50, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "a int, b string, v int, _start int").repartition(4)
+    out = sort.positions(df, ("v", "desc"), "_start", within=["a", "b"], large_groups=large_groups)
+    groups = {}
+    for a, b, v, i in rows:
+        groups.setdefault((a, b), []).append((-v, i))
+    expected = {i: n + 1 for g in groups.values() for n, (_, i) in enumerate(sorted(g))}
+    assert out.columns == ["a", "b", "v", "_start", "pos"] and {r._start: r.pos for r in out.collect()} == expected and out.count() == 200
+
+
 def test_parallel_scan_does_not_shuffle(spark, sf_dir):
     assert inspect.shuffles(scan.parallel_scan(files.table(spark, sf_dir, "lineitem"), ["l_orderkey"], 4)) == 0
 
