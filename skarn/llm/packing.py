@@ -43,7 +43,7 @@ UNITS, UNIT_ROWS = 1024, 65_536
 GOLDEN = (5**0.5 - 1) / 2
 PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
 CAPACITY, END_ID = 4096, 1
-CACHE_WORDS = 400_000  # about 80 MB
+CACHE_WORDS = 600_000  # about 120 MB
 
 
 class WordTokens:
@@ -185,7 +185,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     Sequences follow ``order``, where it is given: of rows (task, doc, and the columns to carry), one for each document, it
     makes rows (task, doc, place) with places 0, 1, ... So an order is found without moving texts."""
     cut = Stored(pieces(docs, tokenizer, capacity, end_id, id_column, text_column, keep_ids, carry), "packing-pieces").df
-    by_task = Stored(cut.groupBy("length", "task").agg(F.count("*").alias("n")), "packing-counts").df
+    by_task = cut.groupBy("length", "task").agg(F.count("*").alias("n"))  # two columns of the stored table, read twice
     totals = by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()  # at most capacity rows
     steps = np.array(plan({r["length"]: r["n"] for r in totals}, capacity), dtype=np.int64).reshape(-1, 5)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
