@@ -82,6 +82,19 @@ def test_transactions_see_defaults_and_their_own_rows(engine):
     assert rows(engine, "SELECT id FROM t ORDER BY id") == [(1,), (2,), (3,)]
 
 
+def test_transactions_read_what_was_there_when_they_began(spark, engine):
+    other = Engine(spark, engine.store)
+    engine.sql("BEGIN")
+    other.sql("INSERT INTO t (id, name) VALUES (3, 'c')")
+    assert rows(engine, "SELECT count(*) FROM t") == [(2,)] and rows(other, "SELECT count(*) FROM t") == [(3,)]
+    engine.sql("UPDATE t SET name = 'z'")
+    with pytest.raises(errors.TransactionError):
+        engine.sql("COMMIT")
+    assert rows(engine, "SELECT name FROM t ORDER BY id") == [("a",), ("b",), ("c",)]
+    engine.sql("BEGIN")
+    engine.sql("COMMIT")
+
+
 def test_commands_are_not_cached(spark):
     engine = Engine(spark)
     for n in (1, 2, 1):
