@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,12 +43,13 @@ def positions(df: DataFrame, *columns: str | tuple[str, str], within: Sequence[s
         return placed.join(first, same).withColumn(name, F.col(whole) - F.col(start) + 1).drop(start, whole, *own)
     if within:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*order)).cast("long"))
-    part, row, before = (free_name(df, n) for n in ("_part", "_row", "_before"))
+    part, row = (free_name(df, n) for n in ("_part", "_row"))
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
     split = Stored(dealt.withColumn(part, F.spark_partition_id()).withColumn(row, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "positions").df
-    counts = split.groupBy(part).agg(F.count("*").alias("_n"))  # a row for each range
-    earlier = counts.select(part, F.coalesce(F.sum("_n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
-    return split.join(F.broadcast(earlier), part).withColumn(name, F.col(before) + F.col(row) + 1).drop(part, row, before)
+    counts = dict(map(tuple, split.groupBy(part).agg(F.count("*")).collect()))  # a row for each range, as many as shuffle partitions
+    earlier = [0, *accumulate(counts.get(k, 0) for k in range(max(counts, default=-1) + 1))]
+    before = F.element_at(F.array(*[F.lit(n).cast("long") for n in earlier]), F.col(part) + 1)
+    return split.withColumn(name, before + F.col(row) + 1).drop(part, row)
 
 
 def top(df: DataFrame, n: int, *columns: str | tuple[str, str]) -> DataFrame:
