@@ -15,6 +15,12 @@ over. Components come from contraction rounds under a fresh random order each, s
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and is linked like any other;
 null doc_ids take part, and a component's id is its smallest doc_id that is not null (null if it has none); repeated
 rows are returned as often as they came; an empty table gives an empty result; other columns are ignored.
+
+``deduplicate`` takes classes of similarity instead where one is given. Shingles of words move few bits of a fingerprint
+only if few shingles differ, so candidates come from WORD_PRINTS fingerprints of a text's different words, each covered
+as above: none within RADIUS in any of them is lost. A candidate is linked if the SKETCH_BITS of its different shingles
+tell of a Jaccard similarity of at least the given one: bits differ by the angle between the sets, whose sizes are known.
+At 0.8 the estimate's standard deviation is 0.03. Nodes are texts that differ in more than case and white space.
 """
 
 from __future__ import annotations
@@ -31,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import Stored, free_name, named, planned, utf8
 
 BITS, RADIUS, SEED = 64, 3, 42
+#: Fingerprints of words and bits of shingles that classes of similarity take.
+WORD_PRINTS, SKETCH_BITS = 8, 1024
 #: Free positions up to which a bucket is searched in memory, whatever its size.
 FEW_FREE = 7
 
@@ -196,10 +204,159 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     return prints.df.join(answer.df, "fp", "left").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
-def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3, bucket_rows: int = 4096) -> DataFrame:
+def _spread(hashes: np.ndarray, words: int) -> np.ndarray:
+    """A row of ``words`` hashes for each hash."""
+    mixed = hashes[:, None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        mixed = (mixed ^ mixed >> np.uint64(shift)) * np.uint64(factor)
+    return mixed ^ mixed >> np.uint64(31)
+
+
+def majority(hashes: np.ndarray, words: int) -> np.ndarray:
+    """``words`` fingerprints of 64 bits of a set of hashes."""
+    votes = np.zeros(words * BITS, dtype=np.int64)
+    for at in range(0, len(hashes), 255):  # sums of bytes
+        bits = np.unpackbits(_spread(hashes[at : at + 255], words).view(np.uint8), axis=1, bitorder="little")
+        votes += bits.sum(axis=0, dtype=np.uint8)
+    return np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")
+
+
+def sketch(text: bytes, shingle: int = 5) -> tuple[int, int, np.ndarray, bytes]:
+    """A hash of the words, the number of different shingles, the fingerprints of the words, the bits of the shingles."""
+    words = text.lower().split()
+    if not words:
+        return 0, 0, np.zeros(WORD_PRINTS, dtype=np.uint64), bytes(SKETCH_BITS // 8)
+    joined = b" ".join(words)
+    ends = [end + i for i, end in enumerate(accumulate(map(len, words)))]
+    starts = [0, *(end + 1 for end in ends)]
+    last = ends[shingle - 1 :] or ends[-1:]
+    grams = {xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, last, strict=False)}
+    terms = {xxhash.xxh64_intdigest(w, SEED) for w in set(words)}
+    tell = majority(np.fromiter(grams, dtype=np.uint64, count=len(grams)), SKETCH_BITS // BITS)
+    return _signed(xxhash.xxh64_intdigest(joined, SEED)), len(grams), majority(np.fromiter(terms, dtype=np.uint64, count=len(terms)), WORD_PRINTS), tell.tobytes()
+
+
+def sketches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5) -> DataFrame:
+    """Rows (doc_id, text_hash, node, size, prints, bits), one for each of docs."""
+    shingle = int(shingle)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [sketch(t, shingle) for t in _each(batch.column(2))]
+            prints = [p.view(np.int64) for _, _, p, _ in made]
+            columns = [pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64()), pa.array(prints, pa.list_(pa.int64())), pa.array([m[3] for m in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "text_hash", "node", "size", "prints", "bits"])
+
+    read = docs.select(named(id_column).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(named(text_column), F.lit(""))).alias("text_hash"), utf8(text_column).alias("body"))
+    return read.mapInArrow(scan, "doc_id long, text_hash long, node long, size long, prints array<long>, bits binary")
+
+
+def similarities(size: np.ndarray, bits: np.ndarray, other_size: int, other_bits: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarities of sets with another one. bits: a row of 64-bit words for each set."""
+    angle = np.bitwise_count(bits ^ other_bits).sum(axis=1, dtype=np.int64) * (np.pi / SKETCH_BITS)
+    shared = np.cos(angle) * np.sqrt(size * float(other_size))
+    return shared / np.maximum(size + float(other_size) - shared, 1e-9)
+
+
+def similar_forest(prints: np.ndarray, size: np.ndarray, bits: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Edges (of indexes) of a spanning forest of the graph that links those within the radius and similar enough."""
+    edges: list[tuple[int, int]] = []
+    rest = np.arange(len(prints))
+    while len(rest):
+        stack, rest = [rest[0]], rest[1:]
+        while stack and len(rest):
+            here = stack.pop()
+            at = np.flatnonzero(np.bitwise_count(prints[rest] ^ prints[here]) <= RADIUS)
+            near = rest[at]
+            at = at[similarities(size[near], bits[near], size[here], bits[here]) >= similarity]
+            if len(at):
+                edges.extend((here, i) for i in rest[at])
+                stack.extend(rest[at])
+                rest = np.delete(rest, at)
+    return edges
+
+
+def similar_links(reps: DataFrame, similarity: float, bucket_rows: int = 4096) -> tuple[DataFrame, list[Stored]]:
+    """Links (a, b) between nodes whose closure is that of all similar pairs within the radius in some fingerprint, and the
+    stored tables behind them. reps: a stored table (node, size, prints, bits) with one row for each node.
+
+    Buckets over ``bucket_rows`` nodes are covered again as in ``links``. Where too few positions are free for that,
+    nodes are dealt into blocks, and each two blocks meet in a task, so that no task holds more than about twice the bound."""
+    spark = reps.sparkSession
+    first = masks(list(range(BITS)))
+    tables = [(m, mask) for m in range(WORD_PRINTS) for mask in first]
+    prints = reps.select("node", F.posexplode("prints").alias("m", "fp"))
+    keyed = prints.select("node", "m", "fp", F.posexplode(F.array(*[F.lit(x).cast("long") for x in first])).alias("i", "mask"))
+    keyed = keyed.select("node", (F.col("m") * len(first) + F.col("i")).alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("bucket"))
+    parts, stored = [], []
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for members in batch.column(0):
+                node, fp, size, bits = (members.values.field(i) for i in range(4))
+                words = np.frombuffer(b"".join(bits.to_pylist()), dtype="<u8").reshape(len(bits), -1)
+                found = similar_forest(fp.to_numpy().view(np.uint64), size.to_numpy().astype(float), words, similarity)
+                if found:
+                    ends = np.array(found)
+                    values = node.to_numpy()
+                    yield pa.RecordBatch.from_arrays([pa.array(values[ends[:, 0]]), pa.array(values[ends[:, 1]])], names=["a", "b"])
+
+    def meet(shared: DataFrame, *more: str) -> DataFrame:
+        told = shared.join(reps, "node").withColumn("fp", F.element_at("prints", F.col("m") + 1))
+        return told.groupBy("t", "bucket", *more).agg(F.collect_list(F.struct("node", "fp", "size", "bits")).alias("members")).select("members").mapInArrow(scan, "a long, b long")
+
+    while True:
+        sizes = Stored(keyed.groupBy("t", "bucket").agg(F.count("*").alias("n")).where("n > 1"), "simhash-similar-buckets")
+        stored.append(sizes)
+        large = [r["t"] for r in sizes.df.where(F.col("n") > bucket_rows).select("t").distinct().collect()]  # at most one for each mask
+        free = {t: _free(tables[t][1]) for t in large}
+        fixed = [t for t in large if len(free[t]) <= FEW_FREE]
+        of_print = F.element_at(F.array(*[F.lit(m) for m, _ in tables]), F.col("t") + 1).alias("m")
+        shared = keyed.join(sizes.df.where(F.col("n") <= bucket_rows), ["t", "bucket"]).select("t", "bucket", "node", of_print)
+        parts.append(meet(shared))
+        if fixed:
+            dense = sizes.df.where((F.col("n") > bucket_rows) & F.col("t").isin(fixed)).withColumn("blocks", F.ceil(F.col("n") / bucket_rows))
+            dealt = keyed.join(dense, ["t", "bucket"]).withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+            dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+            parts.append(meet(dealt.select("t", "bucket", "node", of_print, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")), "low", "high"))
+        finer = [(t, tables[t][0], _signed((tables[t][1] | s) % (1 << BITS))) for t in large if t not in fixed for s in masks(free[t])]
+        if not finer:
+            break
+        finer = sorted(set(finer))
+        down = planned(spark, [[t, m, mask, k] for k, (t, m, mask) in enumerate(finer)], "t int, m int, mask long, finer int")
+        split = sizes.df.where(F.col("n") > bucket_rows).select("t", "bucket")
+        again = keyed.join(split, ["t", "bucket"]).join(F.broadcast(down), "t").join(reps.select("node", "prints"), "node")
+        value = F.element_at("prints", F.col("m") + 1).bitwiseAND(F.col("mask"))
+        keep = Stored(again.select("node", F.col("finer").alias("t"), value.alias("bucket")).distinct(), "simhash-similar-split")
+        stored.append(keep)
+        keyed, tables = keep.df, [(m, mask) for _, m, mask in finer]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out, stored
+
+
+def similar_classes(docs: DataFrame, similarity: float, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, bucket_rows: int = 4096) -> DataFrame:
+    """Rows (doc_id, text_hash, root), one for each of docs; the root is a node of the component. Texts without words are
+    one node, which is similar to no other."""
+    made = Stored(sketches(docs, id_column, text_column, shingle), "simhash-sketches")
+    reps = Stored(made.df.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("size", "prints", "bits")]), "simhash-similar-reps")
+    edges, stored = similar_links(reps.df.where("size > 0"), similarity, bucket_rows)
+    roots, more = components(edges, "simhash-similar")
+    of = Stored(roots, "simhash-similar-roots")
+    for old in (*stored, *more, reps):
+        old.drop()
+    return made.df.select("doc_id", "text_hash", "node").join(of.df, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
+
+
+def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3, bucket_rows: int = 4096, similarity: float | None = None) -> DataFrame:
     """One row of docs, unchanged, for each component: that of its smallest doc_id (null before others), then of the
-    smallest text hash; of rows equal in both, any one."""
-    found = classes(docs, id_column, text_column, shingle, bucket_rows)
+    smallest text hash; of rows equal in both, any one. With a similarity, components are those of texts whose shingles
+    are that similar, else those of fingerprints."""
+    if similarity is None:
+        found = classes(docs, id_column, text_column, shingle, bucket_rows)
+    else:
+        found = similar_classes(docs, similarity, id_column, text_column, shingle, bucket_rows)
     # By root: where an id is repeated with different texts, components may share their smallest id.
     best = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("kept"))
     here, given, own = (free_name(docs, n) for n in ("kept_id", "kept_null", "kept_hash"))

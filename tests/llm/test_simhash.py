@@ -129,3 +129,133 @@ def test_forest_spans():
     a, b = simhash.forest(values)
     assert len(a) == 5
     assert all((int(x) ^ int(y)).bit_count() <= 3 for x, y in zip(a, b, strict=True))
+
+
+def plain_words(text):
+    return WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def plain_shingles(text):
+    words = plain_words(text)
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_majority(things, words):
+    out = []
+    for k in range(1, words + 1):
+        votes = [0] * 64
+        for thing in things:
+            z = (xxhash.xxh64_intdigest(thing.encode(), seed=42) + k * 0x9E3779B97F4A7C15) % (1 << 64)
+            z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
+            z = (z ^ z >> 27) * 0x94D049BB133111EB % (1 << 64)
+            z ^= z >> 31
+            votes = [v + (z >> b & 1) for b, v in enumerate(votes)]
+        out.append(sum(1 << b for b, v in enumerate(votes) if 2 * v > len(things)))
+    return out
+
+
+def jaccard(a, b):
+    a, b = plain_shingles(a), plain_shingles(b)
+    return len(a & b) / max(1, len(a | b))
+
+
+def plain_similar_components(texts, similarity=0.8):
+    """The smallest index of the texts that links of sketches reach; links need a fingerprint of words within 3 bits."""
+    made = [simhash.sketch((t or "").encode()) for t in texts]
+    prints = np.array([m[2] for m in made], dtype=np.uint64).reshape(len(made), -1)
+    bits = np.array([np.frombuffer(m[3], dtype="<u8") for m in made])
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            near = (np.bitwise_count(prints[i] ^ prints[j]) <= 3).any()
+            same = made[i][0] == made[j][0]
+            differ = int(np.bitwise_count(bits[i] ^ bits[j]).sum())
+            shared = np.cos(np.pi * differ / 1024) * (made[i][1] * made[j][1]) ** 0.5
+            if same or near and made[i][1] and made[j][1] and shared >= similarity * (made[i][1] + made[j][1] - shared):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def edited(rng, text, share):
+    words = text.split()
+    for _ in range(max(1, int(len(words) * share))):
+        words[rng.randrange(len(words))] = rng.choice("uvwxyz") * rng.randint(2, 5)
+    return " ".join(words)
+
+
+def families(rng, count, copies, share):
+    prose = lambda: " ".join(rng.choice("abcdefghij") + rng.choice("klmnopq") + rng.choice("rst") for _ in range(rng.randint(90, 260)))
+    texts = []
+    for _ in range(count):
+        base = prose()
+        texts += [base, *(edited(rng, base, rng.random() * share) for _ in range(copies))]
+    return texts
+
+
+def test_sketches_match_the_definition():
+    rng = random.Random(21)
+    texts = [" \t", "One", "one two THREE four", "a b c d e", "x " * 700, "É é Ö", *families(rng, 2, 1, 0.05)]
+    for text in texts:
+        words, grams = plain_words(text), plain_shingles(text)
+        node, size, prints, bits = simhash.sketch(text.encode())
+        assert size == len(grams)
+        if not words:
+            assert (node, *prints, *bits) == (0,) * 137
+            continue
+        assert node % (1 << 64) == xxhash.xxh64_intdigest(" ".join(words).encode(), seed=42)
+        assert list(prints) == plain_majority(set(words), 8)
+        assert list(np.frombuffer(bits, dtype="<u8")) == plain_majority(grams, 16)
+
+
+@pytest.mark.parametrize("bucket_rows", [4096, 3])
+def test_similar_classes_match_brute_force(spark, bucket_rows):
+    rng = random.Random(22)
+    texts = families(rng, 12, 6, 0.06) + ["", None, " \n", "word", "Word ", "two words", "same same", "same same same", *["a b c d e f g"] * 3]
+    rows = [(i, t, "x", 0) for i, t in enumerate(texts)]
+    found = simhash.similar_classes(documents(spark, rows), 0.8, bucket_rows=bucket_rows).collect()
+    assert sorted(r.doc_id for r in found) == list(range(len(texts)))
+    groups, expected = {}, {}
+    for r in found:
+        groups.setdefault(r.root, set()).add(r.doc_id)
+    for i, c in enumerate(plain_similar_components(texts)):
+        expected.setdefault(c, set()).add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+    assert max(map(len, groups.values())) > 3
+    assert simhash.similar_classes(documents(spark, []), 0.8).count() == 0
+
+
+def test_blocks_keep_every_link_of_a_bucket_that_masks_cannot_split(spark):
+    """Texts with the same words have the same fingerprints of words, in whatever order the words stand."""
+    rng = random.Random(23)
+    words = [a + b for a in "abcdefghij" for b in "klmnopqrst"]
+    texts = []
+    for _ in range(6):
+        rng.shuffle(words)
+        texts += [" ".join(words), " ".join(words[1:] + words[:1]), " ".join(words[2:] + words[:2])]
+    rows = [(i, t, "x", 0) for i, t in enumerate(texts)]
+    kept = simhash.deduplicate(documents(spark, rows), shingle=5, similarity=0.8, bucket_rows=4).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 3, 6, 9, 12, 15]
+
+
+def test_similar_texts_go_and_others_stay(spark):
+    rng = random.Random(24)
+    bases = families(rng, 60, 0, 0)
+    near, far = [], []
+    for i, base in enumerate(bases):
+        words = base.split()
+        while jaccard(base, " ".join(words)) > 0.88:
+            words[rng.randrange(len(words))] = "changed"
+        near.append(" ".join(words)) if i % 2 else far.append(edited(rng, " ".join(words), 0.12))
+    assert all(jaccard(a, b) >= 0.8 for a, b in zip(bases[1::2], near, strict=True))
+    assert all(jaccard(a, b) < 0.6 for a, b in zip(bases[::2], far, strict=True))
+    rows = [(i, t, "x", 0) for i, t in enumerate(bases + near + far)]
+    kept = {r.doc_id for r in simhash.deduplicate(documents(spark, rows), shingle=5, similarity=0.8).collect()}
+    assert kept >= {*range(60), *range(90, 120)}
+    assert len(kept & set(range(60, 90))) <= 1
