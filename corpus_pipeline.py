@@ -19,6 +19,8 @@ from skarn.llm import mixing, packing, sanitise, simhash, toxicity
 from skarn.llm.catalogue import MIX_REST, MIX_WEIGHTS
 from skarn.llm.common import Stored, named, table
 
+#: Words of a shingle and the similarity of near duplicates.
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Metadata of the first column of mixed documents: the weights as JSON.
 MIXED = "skarn.mixed"
 
@@ -30,9 +32,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of SimHash links: that of the smallest doc_id, null first. Texts without words, null
-    ones included, are one component; of equal rows one stays."""
-    return simhash.deduplicate(docs)
+    """One document of each component of texts whose five-word shingles are similar by 0.8 or more: that of the smallest
+    doc_id, null first. Texts without words, null ones included, are one component; of equal rows one stays."""
+    return simhash.deduplicate(docs, shingle=SHINGLE_WORDS, similarity=SIMILARITY)
 
 
 def sanitise_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
