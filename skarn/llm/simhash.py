@@ -230,10 +230,10 @@ def sketch(text: bytes, shingle: int = 5) -> tuple[int, int, np.ndarray, bytes]:
     ends = [end + i for i, end in enumerate(accumulate(map(len, words)))]
     starts = [0, *(end + 1 for end in ends)]
     last = ends[shingle - 1 :] or ends[-1:]
-    grams = {xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, last, strict=False)}
-    terms = {xxhash.xxh64_intdigest(w, SEED) for w in set(words)}
-    tell = majority(np.fromiter(grams, dtype=np.uint64, count=len(grams)), SKETCH_BITS // BITS)
-    return _signed(xxhash.xxh64_intdigest(joined, SEED)), len(grams), majority(np.fromiter(terms, dtype=np.uint64, count=len(terms)), WORD_PRINTS), tell.tobytes()
+    # Arrays, as sets of a long text's hashes would take ten times as much.
+    grams = np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, last, strict=False)), dtype=np.uint64))
+    terms = np.unique(np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), dtype=np.uint64))
+    return _signed(xxhash.xxh64_intdigest(joined, SEED)), len(grams), majority(terms, WORD_PRINTS), majority(grams, SKETCH_BITS // BITS).tobytes()
 
 
 def sketches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5) -> DataFrame:
